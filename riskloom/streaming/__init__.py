@@ -1,0 +1 @@
+"""Nothing here yet: every operator in scope works on batch tables."""

@@ -1 +1,187 @@
-"""Registered queries."""
+"""Registered queries: network measures and node features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.functions.temporal import next_month_start
+from riskloom.operators import graph as G, joins
+from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
+from riskloom.plans.feature_queries import eligible_flights
+from riskloom.plans.registry import query
+
+EDGES_SQL = """edges AS (
+  SELECT CAST(date_trunc('month', "FlightDate") AS DATE) AS network_month, "Origin" AS src, "Dest" AS dst,
+         CAST(count(*) AS DOUBLE) AS weight, 1 / sqrt(count(*)) AS length FROM flights GROUP BY ALL
+)"""
+NODES_SQL = """nodes AS (SELECT network_month, node, CAST(count(*) OVER (PARTITION BY network_month) AS DOUBLE) AS n FROM (
+  SELECT network_month, src AS node FROM edges UNION SELECT network_month, dst FROM edges)
+), outs AS (SELECT network_month, src, sum(weight) AS total FROM edges GROUP BY ALL
+), links AS (SELECT network_month, src, dst, weight / total AS share FROM edges JOIN outs USING (network_month, src)
+), r0 AS MATERIALIZED (SELECT network_month, node, n, 1 / n AS r FROM nodes)"""
+ROUNDS = 8
+
+
+def _round_sql(i: int) -> str:
+    return f"""r{i} AS MATERIALIZED (
+  SELECT p.network_month, p.node, p.n, 0.85 * (coalesce(f.flow, 0) + coalesce(d.lost, 0) / p.n) + 0.15 / p.n AS r FROM r{i - 1} p
+  LEFT JOIN (SELECT l.network_month, l.dst, sum(l.share * q.r) AS flow FROM links l JOIN r{i - 1} q ON l.network_month = q.network_month AND l.src = q.node GROUP BY ALL) f
+    ON f.network_month = p.network_month AND f.dst = p.node
+  LEFT JOIN (SELECT q.network_month, sum(q.r) AS lost FROM r{i - 1} q LEFT JOIN outs o ON q.network_month = o.network_month AND q.node = o.src WHERE o.src IS NULL GROUP BY ALL) d
+    ON d.network_month = p.network_month
+)"""
+
+
+PAGERANK_SQL = ",".join(_round_sql(i) for i in range(1, ROUNDS + 1))
+SETTLE_ROUNDS = 30
+
+
+def _settled_sql(i: int) -> str:
+    """One round in which the months that have settled stay as they are."""
+    step = _round_sql(i).replace(f"r{i} AS MATERIALIZED", f"t{i} AS MATERIALIZED")
+    return step + f""", s{i} AS MATERIALIZED (
+  SELECT t.network_month, coalesce(max(x.done), false) OR sum(abs(t.r - p.r)) < max(p.n) * 1e-6 AS done FROM t{i} t JOIN r{i - 1} p USING (network_month, node)
+  LEFT JOIN {f's{i - 1}' if i > 1 else '(SELECT NULL::DATE AS network_month, false AS done)'} x ON x.network_month = t.network_month GROUP BY t.network_month
+), r{i} AS MATERIALIZED (
+  SELECT p.network_month, p.node, p.n, CASE WHEN coalesce(x.done, false) THEN p.r ELSE t.r END AS r FROM r{i - 1} p JOIN t{i} t USING (network_month, node)
+  LEFT JOIN {f's{i - 1}' if i > 1 else '(SELECT NULL::DATE AS network_month, false AS done)'} x ON x.network_month = p.network_month
+)"""
+
+
+SETTLED_SQL = ",".join(_settled_sql(i) for i in range(1, SETTLE_ROUNDS + 1))
+
+
+def month_edges(spark, sf_dir):
+    return G.monthly_edges(labelled_flights(spark, sf_dir, "FlightDate", "Origin", "Dest"))
+
+
+@query("monthly_edges", "GR1 AG12", sql_with(RAW_SQL, EDGES_SQL, body="SELECT * FROM edges"))
+def monthly_edges(spark, sf_dir):
+    return month_edges(spark, sf_dir)
+
+
+@query(
+    "pagerank_fixed_rounds", "GR2",
+    sql_with(RAW_SQL, EDGES_SQL, NODES_SQL, PAGERANK_SQL, body=f"SELECT network_month, node, round(r, 9) AS network_pagerank FROM r{ROUNDS}"),
+)
+def pagerank_fixed_rounds(spark, sf_dir):
+    ranks = G.pagerank(month_edges(spark, sf_dir), rounds=ROUNDS)
+    return ranks.withColumn("network_pagerank", F.round("network_pagerank", 9))
+
+
+@query(
+    "pagerank_converged", "GR2",
+    sql_with(RAW_SQL, EDGES_SQL, NODES_SQL, SETTLED_SQL, body=f"SELECT network_month, node, round(r, 9) AS network_pagerank FROM r{SETTLE_ROUNDS}"),
+)
+def pagerank_converged(spark, sf_dir):
+    ranks = G.pagerank(month_edges(spark, sf_dir))
+    return ranks.withColumn("network_pagerank", F.round("network_pagerank", 9))
+
+
+SHARES_SQL = """totals AS (SELECT network_month, greatest(sum(weight), 1) AS total FROM edges GROUP BY network_month
+), shares AS (
+  SELECT n.network_month, n.node, coalesce(o.w, 0) / t.total AS network_weighted_out_share, coalesce(i.w, 0) / t.total AS network_weighted_in_share
+  FROM nodes n JOIN totals t USING (network_month)
+  LEFT JOIN (SELECT network_month, src AS node, sum(weight) AS w FROM edges GROUP BY ALL) o USING (network_month, node)
+  LEFT JOIN (SELECT network_month, dst AS node, sum(weight) AS w FROM edges GROUP BY ALL) i USING (network_month, node)
+)"""
+
+
+@query("network_shares", "GR4", sql_with(RAW_SQL, EDGES_SQL, NODES_SQL, SHARES_SQL, body="SELECT * FROM shares"))
+def network_shares(spark, sf_dir):
+    return G.shares(month_edges(spark, sf_dir))
+
+
+@query(
+    "previous_month_shares", "GR5 JN5 SCL4",
+    sql_with(RAW_SQL, EDGES_SQL, NODES_SQL, SHARES_SQL, body="""SELECT row_key, o.network_weighted_out_share AS origin_network_weighted_out_share,
+      d.network_weighted_in_share AS destination_network_weighted_in_share FROM flights f
+      LEFT JOIN shares o ON o.node = f."Origin" AND o.network_month + INTERVAL 1 MONTH = date_trunc('month', f."FlightDate")
+      LEFT JOIN shares d ON d.node = f."Dest" AND d.network_month + INTERVAL 1 MONTH = date_trunc('month', f."FlightDate")"""),
+)
+def previous_month_shares(spark, sf_dir):
+    df = labelled_flights(spark, sf_dir, "row_key", "FlightDate", "Origin", "Dest").withColumn("flight_month", F.trunc("FlightDate", "MM"))
+    lagged = G.shares(month_edges(spark, sf_dir)).withColumn("flight_month", next_month_start(F.col("network_month"))).drop("network_month")
+    for role, prefix in (("Origin", "origin_"), ("Dest", "destination_")):
+        df = joins.lookup_join(df, lagged, {"flight_month": "flight_month", role: "node"}, prefix)
+    return df.select("row_key", "origin_network_weighted_out_share", "destination_network_weighted_in_share")
+
+
+@query("betweenness", "GR3")
+def betweenness(spark, sf_dir):
+    """Shortest-path betweenness; checked against brute force in the tests."""
+    return G.betweenness(month_edges(spark, sf_dir))
+
+
+@query("sampled_betweenness", "GR3")
+def sampled_betweenness(spark, sf_dir):
+    return G.betweenness(month_edges(spark, sf_dir), max_sources=10)
+
+
+ROUTES_SQL = """routes AS (SELECT "Origin" AS src, "Dest" AS dst, CAST(count(*) AS DOUBLE) AS weight FROM flights WHERE primary_eligible = 1 AND "year" <= 1999 GROUP BY ALL)"""
+
+
+def routes(spark, sf_dir):
+    df = eligible_flights(spark, sf_dir, "Origin", "Dest", "year").where("year <= 1999")
+    return df.groupBy(F.col("Origin").alias("src"), F.col("Dest").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+@query(
+    "normalized_adjacency", "GR6",
+    sql_with(RAW_SQL, ROUTES_SQL, body="""SELECT src, dst, weight, weight / greatest(sum(weight) OVER (PARTITION BY src), 1) AS out_share,
+      weight / greatest(sum(weight) OVER (PARTITION BY dst), 1) AS in_share FROM routes"""),
+)
+def normalized_adjacency(spark, sf_dir):
+    return G.normalized(G.normalized(routes(spark, sf_dir), "src", name="out_share"), "dst", name="in_share")
+
+
+PROFILE_SQL = """fit AS (SELECT * REPLACE (CASE WHEN "CRSElapsedTime" > 0 THEN "CRSElapsedTime" END AS "CRSElapsedTime") FROM flights
+  WHERE primary_eligible = 1 AND "year" <= 1999 AND NOT ("Dest" = 'NATION_3') AND NOT ("Origin" = 'NATION_5')
+), profile AS (
+  SELECT * FROM (SELECT "Origin" AS node, count(*) AS out_flights, avg("ArrDel15") AS out_delay_rate, count(DISTINCT "Dest") AS out_unique_neighbors,
+    avg("CRSElapsedTime") AS out_mean_duration FROM fit GROUP BY "Origin")
+  FULL JOIN (SELECT "Dest" AS node, count(*) AS in_flights, avg("ArrDel15") AS in_delay_rate, count(DISTINCT "Origin") AS in_unique_neighbors,
+    avg("CRSElapsedTime") AS in_mean_duration FROM fit GROUP BY "Dest") USING (node)
+)"""
+_COUNTS, _OTHERS = ["out_flights", "in_flights"], [
+    "out_delay_rate", "out_unique_neighbors", "out_mean_duration", "in_delay_rate", "in_unique_neighbors", "in_mean_duration"]
+
+
+def profile(spark, sf_dir):
+    from riskloom.functions.values import positive_or_null
+
+    df = eligible_flights(spark, sf_dir, "Origin", "Dest", "year", "ArrDel15", "CRSElapsedTime").where(
+        "year <= 1999 AND Dest <> 'NATION_3' AND Origin <> 'NATION_5'"
+    ).withColumn("CRSElapsedTime", positive_or_null(F.col("CRSElapsedTime")))
+    return G.node_profile(df, "Origin", "Dest", "ArrDel15", "CRSElapsedTime")
+
+
+@query("node_profile", "AG16 JN9", sql_with(RAW_SQL, PROFILE_SQL, body="SELECT * FROM profile"))
+def node_profile(spark, sf_dir):
+    return profile(spark, sf_dir)
+
+
+_logged = [f"ln(1 + {c})" if c in _COUNTS else c for c in [*_COUNTS, *_OTHERS]]
+SCALED_SQL = "logged AS (SELECT node, " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for x, c in zip(_logged, [*_COUNTS, *_OTHERS])) + """ FROM profile
+), imputed AS (SELECT node, """ + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM logged), 0) AS {c}" for c in [*_COUNTS, *_OTHERS]) + """ FROM logged
+), scaled AS (SELECT node, """ + ", ".join(
+    f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-6) AS {c}" for c in [*_COUNTS, *_OTHERS]) + " FROM imputed)"
+
+
+@query("standardized_nodes", "GR8", sql_with(RAW_SQL, PROFILE_SQL, SCALED_SQL, body="SELECT node, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in [*_COUNTS, *_OTHERS]) + " FROM scaled"))
+def standardized_nodes(spark, sf_dir):
+    scaled = G.standardize_nodes(profile(spark, sf_dir), _COUNTS, _OTHERS)
+    return scaled.select("node", *[F.round(c, 6).alias(c) for c in [*_COUNTS, *_OTHERS]])
+
+
+@query(
+    "neighbour_features", "GR7",
+    sql_with(RAW_SQL, ROUTES_SQL, PROFILE_SQL, SCALED_SQL, body="""SELECT src AS node, round(sum(share * out_delay_rate), 6) AS neighbour_out_delay_rate,
+      round(sum(share * in_flights), 6) AS neighbour_in_flights FROM (SELECT *, weight / sum(weight) OVER (PARTITION BY src) AS share FROM routes)
+      JOIN scaled ON dst = node GROUP BY src"""),
+)
+def neighbour_features(spark, sf_dir):
+    scaled = G.standardize_nodes(profile(spark, sf_dir), _COUNTS, _OTHERS)
+    out = G.neighbour_mean(routes(spark, sf_dir), scaled, ["out_delay_rate", "in_flights"])
+    return out.select("node", *[F.round(c, 6).alias(c) for c in out.columns[1:]])

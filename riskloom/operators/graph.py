@@ -98,13 +98,11 @@ def standardize_nodes(profile: DataFrame, counts: Sequence[str], others: Sequenc
     """log1p of counts, median then 0 for missing values, population z-scores."""
     columns = [*counts, *others]
     logged = profile.withColumns({c: F.log1p(F.col(c).cast("double")) for c in counts})
-    # One counter per node at most: the profile has one row per node.
-    medians = logged.agg(F.struct(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns])).scalar()
-    filled = logged.withColumns({c: F.coalesce(F.col(c).cast("double"), medians.getField(c), F.lit(0.0)) for c in columns})
-    moments = filled.agg(
-        F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns])
-    ).scalar()
-    z = lambda c: (F.col(c) - moments.getField(c)["m"]) / F.greatest(moments.getField(c)["s"], F.lit(1e-6))
+    # The profile has one row per node; the fitted statistics are one number per column.
+    medians = logged.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
+    filled = logged.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]), F.lit(0.0)) for c in columns})
+    moments = filled.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("spread")).alias(c) for c in columns]).first()
+    z = lambda c: (F.col(c) - F.lit(moments[c]["mean"])) / F.lit(max(moments[c]["spread"], 1e-6))
     return filled.withColumns({c: z(c) for c in columns})
 
 

@@ -7,18 +7,26 @@ table give the ranking metrics without sorting the rows in one place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.values import log_loss, ratio
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import pick_quantiles, running_totals
 from riskloom.session import materialize
 
 
-def model_scores(df: DataFrame, label: str, models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per model and event: ``model``, ``label``, ``score``."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models])
+def model_scores(
+    df: DataFrame, label: str, models: Sequence[str] | Mapping[str, str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per model and event: ``model``, ``label``, ``score``.
+
+    ``models`` are score columns, or names mapped to score columns.
+    """
+    columns = models if isinstance(models, Mapping) else {m: m for m in models}
+    pairs = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("score")) for m, c in columns.items()]
+    )
     return df.select(*keep, F.col(label).cast("int").alias("label"), F.inline(pairs))
 
 
@@ -116,8 +124,6 @@ def pr_points(scores: DataFrame, by: Sequence[str] = ("model",), min_recall: flo
 
 def calibration_bins(scores: DataFrame, by: Sequence[str] = ("model",), bins: int = 12) -> DataFrame:
     """Mean prediction and observed rate in quantile bins; an edge belongs to the lower bin."""
-    from riskloom.operators.ordering import pick_quantiles
-
     counts = scores.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")
     )

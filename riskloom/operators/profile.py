@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom.functions.values import any_null, clipped_bin, joined_reasons, ratio
+from riskloom.session import materialize
 
 # Whole-minute delays have few distinct values, so the exact ``percentile``
 # aggregate stays small per group; continuous columns use ordering.exact_quantiles.
@@ -113,8 +114,12 @@ def flag_upper_tail(daily: DataFrame, columns: Mapping[str, str], q: float = 0.9
 
 
 def daily_anomalies(daily: DataFrame, n: int = 12) -> DataFrame:
-    """The days that stand out most within their calendar month, with observed context."""
+    """The days that stand out most within their calendar month, with observed context.
+
+    The daily table is stored first, as the cut-offs read it a second time.
+    """
     name = "seasonally_standardized_anomaly"
+    daily = materialize(daily, "daily")
     scored = seasonal_zscore(daily, "delay_rate", "calendar_month", name)
     flagged = flag_upper_tail(scored, {"forecast_hazard_share": "_hazard", "cancellation_rate": "_cancel"})
     context = joined_reasons(

@@ -1 +1,521 @@
-"""Registered queries."""
+"""Registered queries: feature preparation, estimators, selection and explanations."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from riskloom.catalog import (
+    DEFAULT_SOURCE, DISPLAY, DURATION_EDGES, DURATION_LABELS, EXCLUDED_FEATURES, FEATURE_GROUPS, GROUP_SOURCE,
+    SCREEN_THRESHOLD_AP, SEVERITY_MINUTES, SHAPE_ADVICE, DEFAULT_SHAPE_ADVICE,
+)
+from riskloom.functions import values as V
+from riskloom.operators import explain as X, history, joins, metrics as M, models as ML, profile as R, sampling
+from riskloom.operators.cohort import eligible, temporal_split
+from riskloom.plans import flights as P
+from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
+from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
+from riskloom.plans.profile_queries import metrics_sql
+from riskloom.plans.registry import query
+from riskloom.session import materialize, scratch_dir
+from riskloom.sources import store
+
+RATES = ["origin_recent_delay_rate", "destination_recent_delay_rate", "route_recent_delay_rate"]
+DURATION = "scheduled_duration_minutes"
+
+
+def _rounded(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def model_table(spark, sf_dir):
+    """Eligible bound flights with schedule, congestion and history features."""
+    df = labelled_flights(
+        spark, sf_dir, "row_key", "FlightDate", "year", "month", "day_of_week", "departure_hour", "Reporting_Airline",
+        "Origin", "Dest", "CRSElapsedTime", "disc", "ArrDel15", "ArrDelay", "primary_eligible",
+    )
+    counted = eligible(history.congestion(df))
+    rates = history.trailing_features(eligible(df))
+    joined = joins.lookup_join(counted, rates, {c: c for c in ("FlightDate", "Origin", "Dest")}, validate=False)
+    return P.present(joined).withColumn("label", F.col("arrival_delay_15min").cast("int"))
+
+
+MODEL_SQL = """model_rows AS (
+  SELECT f.row_key, f."year", f."Origin" AS origin_airport, f."Dest" AS destination_airport, f."Reporting_Airline" AS airline, f.departure_hour,
+         CASE WHEN f."CRSElapsedTime" > 0 THEN f."CRSElapsedTime" END AS scheduled_duration_minutes, r.origin_recent_delay_rate,
+         r.destination_recent_delay_rate, r.route_recent_delay_rate, f."ArrDel15" AS label
+  FROM flights f LEFT JOIN rates r USING ("FlightDate", "Origin", "Dest") WHERE primary_eligible = 1
+)"""
+_MODEL_PARTS = (RAW_SQL, TRAILING_SQL, MODEL_SQL)
+
+
+def split_table(spark, sf_dir):
+    stored = materialize(model_table(spark, sf_dir), "model")
+    parts = temporal_split(stored, 1999, 2000, 2001)
+    return parts["fit"], parts["validate"], parts["test"]
+
+
+# --- feature preparation ----------------------------------------------------------------
+
+
+@query(
+    "pooled_levels", "ML1",
+    sql_with(RAW_SQL, """counts AS (SELECT "Origin" || '>' || "Dest" AS level, count(*) AS n FROM flights WHERE "year" <= 1999 GROUP BY ALL
+    ), pooled AS (SELECT CASE WHEN c.n IS NULL THEN NULL WHEN c.n < 60 THEN 'infrequent' ELSE c.level END AS route
+      FROM flights f LEFT JOIN counts c ON f."Origin" || '>' || f."Dest" = c.level)""",
+             body="SELECT route, count(*) AS n FROM pooled GROUP BY route"),
+)
+def pooled_levels(spark, sf_dir):
+    df = labelled_flights(spark, sf_dir, "Origin", "Dest", "year").withColumn("route", F.concat_ws(">", "Origin", "Dest"))
+    counts = ML.level_counts(df.where("year <= 1999"), "route")
+    return ML.pool_rare(df, "route", counts, min_rows=60).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "scaled_numbers", "ML2",
+    sql_with(RAW_SQL, body="""SELECT row_key, round(disc / (SELECT stddev_pop(disc) FROM flights WHERE "year" <= 1999), 6) AS disc,
+      round(departure_hour / (SELECT stddev_pop(departure_hour) FROM flights WHERE "year" <= 1999), 6) AS departure_hour FROM flights"""),
+)
+def scaled_numbers(spark, sf_dir):
+    df = labelled_flights(spark, sf_dir, "row_key", "year", "disc", "departure_hour")
+    return _rounded(ML.scale_only(df, df.where("year <= 1999"), ["disc", "departure_hour"]).drop("year"), "disc", "departure_hour")
+
+
+def _mean_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN NULL ELSE (coalesce({a}, 0) + coalesce({b}, 0)) / (({a} IS NOT NULL)::INT + ({b} IS NOT NULL)::INT) END"
+
+
+@query(
+    "backoff_imputation", "ML3 ML4 AG13 SCL16",
+    sql_with(*_MODEL_PARTS, "fit AS (SELECT * FROM model_rows WHERE \"year\" <= 1999)", """medians AS (
+      SELECT origin_airport, destination_airport, quantile_cont(scheduled_duration_minutes, 0.5) AS m FROM fit GROUP BY ALL)""",
+             body="SELECT row_key, " + ", ".join(
+        f"round(coalesce({r}, {_mean_sql(*[o for o in RATES if o != r])}, (SELECT avg({r}) FROM fit)), 6) AS {r}, ({r} IS NULL)::INT AS {r}_history_unavailable"
+        for r in RATES) + f""", coalesce({DURATION}, m, (SELECT quantile_cont({DURATION}, 0.5) FROM fit)) AS {DURATION},
+      ({DURATION} IS NULL)::INT AS scheduled_duration_history_unavailable FROM model_rows LEFT JOIN medians USING (origin_airport, destination_airport)"""),
+)
+def backoff_imputation(spark, sf_dir):
+    df = model_table(spark, sf_dir).select("row_key", "year", "origin_airport", "destination_airport", DURATION, *RATES)
+    fitted = ML.fit_backoff(df.where("year <= 1999"), RATES, DURATION, ["origin_airport", "destination_airport"])
+    return _rounded(ML.apply_backoff(df, fitted).drop("year", "origin_airport", "destination_airport"), *RATES)
+
+
+@query(
+    "standardized_numbers", "ML5",
+    sql_with(*_MODEL_PARTS, "fit AS (SELECT * FROM model_rows WHERE \"year\" <= 1999)", "med AS (SELECT " + ", ".join(
+        f"quantile_cont({c}, 0.5) AS {c}" for c in [DURATION, RATES[0]]) + " FROM fit)", "stats AS (SELECT " + ", ".join(
+        f"avg(coalesce(f.{c}, med.{c})) AS m_{c}, stddev_samp(coalesce(f.{c}, med.{c})) AS s_{c}" for c in [DURATION, RATES[0]]) + " FROM fit f, med)",
+             body="SELECT row_key, " + ", ".join(f"round((coalesce(r.{c}, med.{c}) - m_{c}) / s_{c}, 6) AS {c}" for c in [DURATION, RATES[0]])
+             + " FROM model_rows r, med, stats"),
+)
+def standardized_numbers(spark, sf_dir):
+    columns = [DURATION, RATES[0]]
+    df = model_table(spark, sf_dir).select("row_key", "year", *columns)
+    return _rounded(ML.standardize(df, df.where("year <= 1999"), columns).drop("year"), *columns)
+
+
+@query(
+    "indexed_levels", "ML6",
+    sql_with(RAW_SQL, """known AS (SELECT airline, row_number() OVER (ORDER BY airline) AS i FROM (
+      SELECT DISTINCT "Reporting_Airline" AS airline FROM flights WHERE "year" <= 1999 AND "Reporting_Airline" <> 'Brand#7'))""",
+             body="""SELECT row_key, CAST(coalesce(i, 0) AS INTEGER) AS airline_index FROM flights LEFT JOIN known ON "Reporting_Airline" = airline"""),
+)
+def indexed_levels(spark, sf_dir):
+    df = labelled_flights(spark, sf_dir, "row_key", "year", "Reporting_Airline")
+    train = df.where("year <= 1999 AND Reporting_Airline <> 'Brand#7'")
+    return ML.index_levels(df, train, "Reporting_Airline", "airline_index").select("row_key", "airline_index")
+
+
+@query(
+    "linear_score", "ML14 SCL11",
+    sql_with(RAW_SQL, body="SELECT row_key, round(1 / (1 + exp(-(-2.5 + 0.08 * departure_hour + 0.2 * disc - 0.05 * day_of_week))), 6) AS probability FROM flights"),
+)
+def linear_score(spark, sf_dir):
+    df = labelled_flights(spark, sf_dir, "row_key", "departure_hour", "disc", "day_of_week")
+    score = V.linear_score({"departure_hour": 0.08, "disc": 0.2, "day_of_week": -0.05}, -2.5)
+    return df.select("row_key", F.round(score, 6).alias("probability"))
+
+
+@query(
+    "aligned_predictions", "JN13 TK7",
+    sql_with(RAW_SQL, """picked AS (SELECT row_key FROM flights WHERE primary_eligible = 1 AND "year" = 2001 ORDER BY md5(row_key || '-74') LIMIT 400)""",
+             body="""SELECT row_key, "ArrDel15" AS actual, score_a, score_b FROM picked JOIN flights USING (row_key)"""),
+)
+def aligned_predictions(spark, sf_dir):
+    rows = eligible_flights(spark, sf_dir, "row_key", "year", "ArrDel15").where("year = 2001")
+    picked = sampling.exact_sample(rows.select("row_key", F.col("ArrDel15").alias("actual")), 400, "row_key", 74, allow_fewer=True)
+    predictions = labelled_flights(spark, sf_dir, "row_key", "score_a", "score_b")
+    return picked.join(predictions, "row_key")
+
+
+# --- estimators ------------------------------------------------------------------------------
+
+CATEGORIES = ["airline", "origin_airport", "destination_airport", "departure_weekday"]
+NUMBERS = ["scheduled_departure_hour", DURATION, "disc", "origin_hourly_scheduled_flights", "destination_daily_scheduled_flights", *RATES]
+FLAGS = [*[f"{r}_history_unavailable" for r in RATES], "scheduled_duration_history_unavailable"]
+
+
+def prepared(spark, sf_dir):
+    """Fit, validation and test rows with complete numbers and missing flags."""
+    fit, valid, test = split_table(spark, sf_dir)
+    fitted = ML.fit_backoff(fit, RATES, DURATION, ["origin_airport", "destination_airport"])
+    return [materialize(ML.apply_backoff(part, fitted), "prepared") for part in (fit, valid, test)]
+
+
+def _metrics_of(scored, models):
+    return M.evaluate(M.model_scores(scored, "label", models))
+
+
+@query("logistic_regression", "ML7 ML2 SNK7")
+def logistic_regression(spark, sf_dir):
+    """Test metrics of the fitted regression after saving and loading it."""
+    fit, _, test = prepared(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    store.save_model(ML.logistic(CATEGORIES, [*NUMBERS, *FLAGS]).fit(fit), path)
+    return _metrics_of(ML.add_probability(test, store.load_model(path), "logistic_regression"), ["logistic_regression"])
+
+
+@query("logistic_coefficients", "ML16")
+def logistic_coefficients(spark, sf_dir):
+    fit, _, _ = prepared(spark, sf_dir)
+    return ML.coefficients(ML.logistic(CATEGORIES, [*NUMBERS, *FLAGS], regParam=1e-3, elasticNetParam=0.05).fit(fit), fit)
+
+
+@query("boosted_trees", "ML8")
+def boosted_trees(spark, sf_dir):
+    fit, _, test = prepared(spark, sf_dir)
+    model = ML.boosted_trees(CATEGORIES[:1], [*NUMBERS, *FLAGS], maxIter=5).fit(fit)
+    return _metrics_of(ML.add_probability(test, model, "boosted_trees"), ["boosted_trees"])
+
+
+@query("tree_importance", "ML16")
+def tree_importance(spark, sf_dir):
+    fit, _, _ = prepared(spark, sf_dir)
+    return ML.tree_importance(ML.boosted_trees(CATEGORIES[:1], [*NUMBERS, *FLAGS], maxIter=3).fit(fit), fit)
+
+
+PAIRS = [("scheduled_departure_hour", "disc"), ("departure_weekday", "scheduled_departure_hour")]
+
+
+@query("additive_model", "ML9")
+def additive_model(spark, sf_dir):
+    fit, _, test = split_table(spark, sf_dir)
+    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, PAIRS)
+    return _metrics_of(model.score(test, "additive"), ["additive"])
+
+
+@query("additive_importance", "ML16 EX1 SCL15")
+def additive_importance(spark, sf_dir):
+    fit, _, test = split_table(spark, sf_dir)
+    table = ML.fit_additive(fit, CATEGORIES, NUMBERS, PAIRS).importance(test)
+    return table.withColumn("display_term", V.display_name(F.col("term"), DISPLAY))
+
+
+@query("additive_curves", "EX1 EX7")
+def additive_curves(spark, sf_dir):
+    """Response curve of the departure hour with its monotone fit."""
+    fit, _, _ = split_table(spark, sf_dir)
+    model = ML.fit_additive(fit, ["airline"], NUMBERS)
+    curve = model.curve(spark, "scheduled_departure_hour").withColumnsRenamed({"term": "feature", "score": "effect"})
+    return X.monotone_fit(curve)
+
+
+@query("severity_models", "ML10 SCL17 EX8")
+def severity_models(spark, sf_dir):
+    """Severity probabilities of the flight nearest to a risk of 0.5, raw and coherent."""
+    fit, _, test = split_table(spark, sf_dir)
+    scored, columns = test, {}
+    for minutes in (15, *SEVERITY_MINUTES):
+        labelled = fit.withColumn("label", (F.col("ArrDelay") >= minutes).cast("int"))
+        columns[minutes] = f"p_delay_ge_{minutes}"
+        scored = ML.fit_additive(labelled, ["airline"], ["scheduled_departure_hour", "disc", RATES[0]], max_bins=16).score(scored, columns[minutes])
+    stored = materialize(scored, "severity")
+    example = X.nearest_row(stored, F.col("label") == 1, F.col("p_delay_ge_15"), 0.5, "row_key")
+    return X.severity_profile(example, columns, ["origin_airport", "destination_airport", "scheduled_departure_hour"])
+
+
+@query("grid_search", "ML11 TK5 EV9")
+def grid_search(spark, sf_dir):
+    fit, valid, _ = prepared(spark, sf_dir)
+    numbers = [*NUMBERS, *FLAGS]
+    candidates = {
+        **{f"logistic reg={reg} mix={mix}": (lambda df, reg=reg, mix=mix: ML.logistic(CATEGORIES, numbers, regParam=reg, elasticNetParam=mix).fit(df))
+           for reg, mix in ((1e-5, 0.0), (1e-3, 0.0), (1e-3, 0.05))},
+        **{f"trees depth={d}": (lambda df, d=d: ML.boosted_trees(CATEGORIES[:1], numbers, maxIter=3, maxDepth=d).fit(df)) for d in (3, 4)},
+        **{f"additive bins={b}": (lambda df, b=b: ML.fit_additive(df, CATEGORIES, NUMBERS, max_bins=b)) for b in (8, 32)},
+    }
+    _, metrics = ML.grid_search(fit, valid, candidates)
+    return ML.best_by_group(metrics, F.split("model", " ")[0])
+
+
+_BLOCKS = {
+    "identity": ["airline", "origin_airport", "destination_airport"],
+    "timing": ["scheduled_departure_hour", DURATION, "departure_weekday"],
+    "congestion": ["origin_hourly_scheduled_flights", "destination_daily_scheduled_flights"],
+    "history": RATES,
+    "discount": ["disc"],
+}
+
+
+@query("block_ablation", "ML12")
+def block_ablation(spark, sf_dir):
+    fit, valid, _ = prepared(spark, sf_dir)
+
+    def train(df, columns):
+        cats = [c for c in columns if c in CATEGORIES]
+        return ML.logistic(cats, [c for c in columns if c not in CATEGORIES], maxIter=20).fit(df)
+
+    return ML.block_ablation(fit, valid, _BLOCKS, train, ["identity", "timing"], SCREEN_THRESHOLD_AP)
+
+
+@query("seed_ensemble", "ML15 EV9 AS11")
+def seed_ensemble(spark, sf_dir):
+    """Log-loss gain of the three-seed mean over each single seed."""
+    fit, _, test = prepared(spark, sf_dir)
+    models = [ML.boosted_trees(CATEGORIES[:1], NUMBERS, maxIter=3, maxDepth=3, subsamplingRate=0.6, seed=s).fit(fit) for s in (42, 43, 44)]
+    scored = materialize(ML.seed_ensemble(ML.add_probability(test, models[0], "single"), models, "mean"), "ensemble")
+    return M.paired_gain(scored, "label", "mean", "single")
+
+
+# --- decisions and catalogue --------------------------------------------------------------
+
+# Scores with one component left out stand for refits without a feature block.
+_LEFT_OUT = {"disc": "8 * disc", "hour": "24 * (CASE WHEN departure_hour >= 15 THEN 1 ELSE 0 END)", "noise": "1 * (disc % 2)"}
+BLOCKS_SQL = """scored AS (SELECT 'full' AS model, CAST("ArrDel15" AS INTEGER) AS label, score_a AS score FROM flights WHERE primary_eligible = 1""" + "".join(
+    f""" UNION ALL SELECT '{n}', CAST("ArrDel15" AS INTEGER), (round(400 * score_a) - {e}) / 400 FROM flights WHERE primary_eligible = 1""" for n, e in _LEFT_OUT.items()) + ")"
+
+
+def block_metrics(spark, sf_dir):
+    df = eligible_flights(spark, sf_dir, "ArrDel15", "score_a", "disc", "departure_hour").withColumnRenamed("score_a", "full")
+    df = df.withColumns({n: (F.round(F.col("full") * 400) - F.expr(e)) / 400 for n, e in _LEFT_OUT.items()})
+    return _rounded(M.evaluate(M.model_scores(df, "ArrDel15", ["full", *_LEFT_OUT])), "average_precision", "roc_auc")
+
+
+def decisions(spark, sf_dir):
+    out = M.block_decisions(block_metrics(spark, sf_dir), "full", SCREEN_THRESHOLD_AP, ["hour"])
+    return out.withColumns({c: F.round(c, 5) for c in ("validation_ap_gain", "validation_auc_gain")})
+
+
+DECISIONS_SQL = """decisions AS (
+  SELECT e.model AS feature_group, e.average_precision AS validation_ap_without_group, round(f.average_precision - e.average_precision, 5) AS validation_ap_gain,
+         round(f.roc_auc - e.roc_auc, 5) AS validation_auc_gain, e.model = 'hour' OR f.average_precision - e.average_precision >= 0.001 AS included,
+         CASE WHEN e.model = 'hour' THEN 'Required task definition' WHEN f.average_precision - e.average_precision >= 0.001 THEN 'Included'
+           ELSE 'Excluded: no material validation lift' END AS decision
+  FROM evaluated e, evaluated f WHERE f.model = 'full' AND e.model <> 'full'
+)"""
+_DECISION_PARTS = (RAW_SQL, BLOCKS_SQL, metrics_sql("scored"), DECISIONS_SQL)
+
+
+@query("block_decisions", "ML12 SCL14", sql_with(*_DECISION_PARTS, body="SELECT * FROM decisions"))
+def block_decisions(spark, sf_dir):
+    return decisions(spark, sf_dir)
+
+
+# Which screened block decides about which feature group.
+_SCREENED = {"Scheduled congestion": "noise", "Recent delay propagation": "disc", "Schedule timing": "hour"}
+
+
+def catalog_rows():
+    """(feature, name, group, source, screened block, fixed decision) of every known feature."""
+    rows = [(f, DISPLAY[f], g, GROUP_SOURCE.get(g, DEFAULT_SOURCE), _SCREENED.get(g), None) for g, fs in FEATURE_GROUPS.items() for f in fs]
+    return rows + [(f, n, g, "Candidate / derived", None, d) for f, g, n, d in EXCLUDED_FEATURES]
+
+
+_q = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query(
+    "feature_catalog", "ML13 ST1",
+    sql_with(*_DECISION_PARTS, "known AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_q(v) for v in r) + ")" for r in catalog_rows())
+             + ") k(feature, display_name, feature_group, source, block, fixed))",
+             body="""SELECT k.feature, k.display_name, k.feature_group, k.source, d.validation_ap_gain AS validation_ap_gain_for_group,
+      fixed IS NULL AND coalesce(d.included, true) AS included, coalesce(fixed, d.decision, 'Included') AS decision
+      FROM known k LEFT JOIN decisions d ON k.block = d.feature_group"""),
+)
+def feature_catalog(spark, sf_dir):
+    schema = "feature string, display_name string, feature_group string, source string, block string, fixed string"
+    known = spark.createDataFrame(catalog_rows(), schema)
+    screened = decisions(spark, sf_dir).select(F.col("feature_group").alias("_block"), "validation_ap_gain", F.col("included").alias("_in"), F.col("decision").alias("_why"))
+    joined = known.join(screened, F.col("block") == F.col("_block"), "left")
+    return joined.select(
+        "feature", "display_name", "feature_group", "source", F.col("validation_ap_gain").alias("validation_ap_gain_for_group"),
+        (F.col("fixed").isNull() & F.coalesce("_in", F.lit(True))).alias("included"),
+        F.coalesce("fixed", "_why", F.lit("Included")).alias("decision"),
+    )
+
+
+# --- explanations ------------------------------------------------------------------------
+
+_TERMS = {"Origin": '"Origin"', "Dest": '"Dest"', "Reporting_Airline": '"Reporting_Airline"', "scheduled_departure_hour": "departure_hour",
+          "disc": "disc", "day_of_week": "day_of_week", "scheduled_duration_minutes": 'CAST("CRSElapsedTime" AS BIGINT)'}
+
+
+def _term_columns():
+    columns = {t: F.col(t) for t in ("Origin", "Dest", "Reporting_Airline", "disc", "day_of_week")}
+    return columns | {"scheduled_departure_hour": F.col("departure_hour"), "scheduled_duration_minutes": F.col("CRSElapsedTime").cast("bigint")}
+
+
+EFFECTS_SQL = """base AS (SELECT ln(sum("ArrDel15") / (count(*) - sum("ArrDel15"))) AS b, avg("ArrDel15") AS rate FROM flights WHERE primary_eligible = 1
+), effects AS (""" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS term, CAST({x} AS VARCHAR) AS level, count(*) AS "rows", ln((sum("ArrDel15") + 1) / (count(*) - sum("ArrDel15") + 1)) - (SELECT b FROM base) AS score
+    FROM flights WHERE primary_eligible = 1 AND {x} IS NOT NULL GROUP BY ALL""" for t, x in _TERMS.items()) + ")"
+CURVES_SQL = """curves AS (SELECT term AS feature, CAST(level AS DOUBLE) AS x, score AS effect FROM effects
+  WHERE term IN ('scheduled_departure_hour', 'disc', 'day_of_week', 'scheduled_duration_minutes'))"""
+
+
+def explained(spark, sf_dir, *more):
+    return eligible_flights(spark, sf_dir, "Origin", "Dest", "Reporting_Airline", "departure_hour", "disc", "day_of_week", "CRSElapsedTime", "ArrDel15", *more)
+
+
+def effects_table(spark, sf_dir):
+    return materialize(X.level_effects(explained(spark, sf_dir), "ArrDel15", _term_columns()), "effects")
+
+
+def base_rate(spark, sf_dir):
+    return eligible_flights(spark, sf_dir, "ArrDel15").agg(F.avg("ArrDel15")).scalar()
+
+
+@query("response_curves", "EX1", sql_with(RAW_SQL, EFFECTS_SQL, CURVES_SQL, body="SELECT feature, x, round(effect, 6) AS effect FROM curves"))
+def response_curves(spark, sf_dir):
+    return _rounded(X.response_curve(effects_table(spark, sf_dir)), "effect")
+
+
+@query(
+    "risk_points", "EX2 SCL11",
+    sql_with(RAW_SQL, EFFECTS_SQL, body="""SELECT term, level, round(100 * (1 / (1 + exp(-greatest(least(ln(rate / (1 - rate)) + score, 30), -30))) - rate), 6) AS risk_change_pp
+      FROM effects, base"""),
+)
+def risk_points(spark, sf_dir):
+    change = V.risk_points(F.col("score"), base_rate(spark, sf_dir))
+    return effects_table(spark, sf_dir).select("term", "level", F.round(change, 6).alias("risk_change_pp"))
+
+
+@query(
+    "riskiest_airports", "EX3 JN10 TK2 WN7",
+    sql_with(RAW_SQL, EFFECTS_SQL, body="""SELECT term, CAST(rank AS INTEGER) AS rank, level, "rows" AS sample_flights,
+      round(100 * (1 / (1 + exp(-greatest(least(ln(rate / (1 - rate)) + score, 30), -30))) - rate), 6) AS risk_change_at_baseline_pp FROM (
+        SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, level) AS rank FROM effects WHERE term IN ('Origin', 'Dest') AND "rows" >= 150), base WHERE rank <= 10"""),
+)
+def riskiest_airports(spark, sf_dir):
+    effects = effects_table(spark, sf_dir).where(F.col("term").isin("Origin", "Dest"))
+    counts = X.level_effects(explained(spark, sf_dir), "ArrDel15", {t: F.col(t) for t in ("Origin", "Dest")})
+    counted = joins.lookup_join(effects.drop("rows"), counts.select("term", "level", "rows"), {"term": "term", "level": "level"}, validate=False)
+    return _rounded(X.category_risk(counted, base_rate(spark, sf_dir), 150), "risk_change_at_baseline_pp")
+
+
+_bands = " ".join(f"WHEN d >= {e} THEN '{n}'" for e, n in reversed(list(zip(DURATION_EDGES, DURATION_LABELS))))
+
+
+@query(
+    "duration_risk", "EX4 AG17 SCL9",
+    sql_with(RAW_SQL, EFFECTS_SQL, body=f"""SELECT CASE {_bands} END AS duration_band_minutes, count(*) AS sample_flights, round(avg(pp), 6) AS mean_risk_change_percentage_points FROM (
+      SELECT "CRSElapsedTime" AS d, 100 * (1 / (1 + exp(-(ln(rate / (1 - rate)) + score))) - rate) AS pp FROM flights
+      JOIN effects ON term = 'scheduled_duration_minutes' AND level = CAST(CAST("CRSElapsedTime" AS BIGINT) AS VARCHAR), base WHERE primary_eligible = 1) GROUP BY 1"""),
+)
+def duration_risk(spark, sf_dir):
+    effects = effects_table(spark, sf_dir).where("term = 'scheduled_duration_minutes'").select("level", "score")
+    df = eligible_flights(spark, sf_dir, "CRSElapsedTime").withColumn("level", F.col("CRSElapsedTime").cast("bigint").cast("string"))
+    rows = df.join(effects, "level").select(
+        V.band(F.col("CRSElapsedTime"), DURATION_EDGES, DURATION_LABELS).alias("duration_band_minutes"),
+        V.risk_points(F.col("score"), base_rate(spark, sf_dir)).alias("pp"),
+    )
+    return _rounded(R.band_summary(rows, "duration_band_minutes", "pp"), "mean_risk_change_percentage_points")
+
+
+def example_flight(spark, sf_dir):
+    """A delayed flight of high risk without diversion or cancellation flags, nearest to 0.72."""
+    df = explained(spark, sf_dir, "row_key", "score_a", "Cancelled", "Diverted")
+    candidate = (F.col("ArrDel15") == 1) & F.col("score_a").between(0.45, 0.78) & (V.sum_of_flags(["Cancelled", "Diverted"]) == 0) & (F.col("disc") > 3)
+    return X.nearest_row(df, candidate, F.col("score_a"), 0.72, "row_key")
+
+
+EXAMPLE_SQL = """example AS (SELECT * FROM flights WHERE primary_eligible = 1 ORDER BY ("ArrDel15" = 1 AND score_a BETWEEN 0.45 AND 0.78
+  AND "Cancelled" + "Diverted" = 0 AND disc > 3) DESC, abs(score_a - 0.72), row_key LIMIT 1)"""
+
+
+@query("example_flight", "TK4 FLT7 SCL18", sql_with(RAW_SQL, EXAMPLE_SQL, body='SELECT row_key, "Origin", "Dest", score_a, disc FROM example'))
+def example_flight_query(spark, sf_dir):
+    return example_flight(spark, sf_dir).select("row_key", "Origin", "Dest", "score_a", "disc")
+
+
+CONTRIBUTIONS_SQL = "contributions AS (" + " UNION ALL ".join(
+    f"SELECT row_key, '{t}' AS term, score AS contribution FROM example JOIN effects ON term = '{t}' AND level = CAST({x} AS VARCHAR)" for t, x in _TERMS.items()) + ")"
+WATERFALL_SQL = """placed AS (SELECT *, row_number() OVER (ORDER BY abs(contribution) DESC, term) AS place FROM contributions
+), steps AS (
+  SELECT row_key, 0 AS step, 'intercept' AS term, b AS contribution FROM example, base
+  UNION ALL SELECT row_key, place, term, contribution FROM placed WHERE place <= 4
+  UNION ALL SELECT row_key, 5, 'other_terms', sum(contribution) FROM placed WHERE place > 4 GROUP BY row_key
+), summed AS (SELECT *, 1 / (1 + exp(-sum(contribution) OVER (ORDER BY step))) AS p FROM steps)"""
+
+
+@query(
+    "risk_waterfall", "EX5 TK3 WN8",
+    sql_with(RAW_SQL, EFFECTS_SQL, EXAMPLE_SQL, CONTRIBUTIONS_SQL, WATERFALL_SQL, body="""SELECT row_key, CAST(step AS INTEGER) AS step, term, round(contribution, 6) AS contribution,
+      round(coalesce(lag(p) OVER (ORDER BY step), 0), 6) AS start_probability, round(p, 6) AS end_probability,
+      round(100 * (p - coalesce(lag(p) OVER (ORDER BY step), 0)), 6) AS change_percentage_points, round(last_value(p) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS final_probability FROM summed"""),
+)
+def risk_waterfall(spark, sf_dir):
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), c.cast("string").alias("level")) for t, c in _term_columns().items()])
+    example = example_flight(spark, sf_dir).select("row_key", F.inline(pairs))
+    contributions = example.join(effects_table(spark, sf_dir), ["term", "level"]).select("row_key", "term", F.col("score").alias("contribution"))
+    out = X.waterfall(contributions, V.logit(base_rate(spark, sf_dir)), top=4)
+    return _rounded(out, "contribution", "start_probability", "end_probability", "change_percentage_points", "final_probability")
+
+
+_advice = " ".join(f"WHEN '{f}' THEN {_q(a)}" for f, a in SHAPE_ADVICE.items())
+
+
+@query(
+    "shape_review", "EX6 WN9",
+    sql_with(RAW_SQL, EFFECTS_SQL, CURVES_SQL, """steps AS (
+      SELECT *, effect - lag(effect) OVER w AS d1, max(effect) OVER (PARTITION BY feature) - min(effect) OVER (PARTITION BY feature) AS span,
+        rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY feature ORDER BY effect) + (count(*) OVER (PARTITION BY feature, effect) - 1) / 2.0 AS ry FROM curves WINDOW w AS (PARTITION BY feature ORDER BY x)
+    ), turns AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY feature ORDER BY x) AS d2 FROM steps
+    ), material AS (SELECT feature, sign(d1) AS s, lag(sign(d1)) OVER (PARTITION BY feature ORDER BY x) AS before FROM steps WHERE abs(d1) > greatest(span * 0.005, 1e-5))""",
+             body=f"""SELECT t.feature, count(*) AS bins_or_levels, round(sum(abs(d2)) / greatest(sum(abs(d1)), 1e-9), 6) AS roughness_ratio,
+      (SELECT count(*) FROM material m WHERE m.feature = t.feature AND s <> before) AS direction_reversals, round(corr(rx, ry), 6) AS spearman_x_to_effect,
+      CASE t.feature {_advice} ELSE {_q(DEFAULT_SHAPE_ADVICE)} END AS production_recommendation FROM turns t GROUP BY t.feature"""),
+)
+def shape_review(spark, sf_dir):
+    curves = X.response_curve(effects_table(spark, sf_dir))
+    return _rounded(X.shape_review(curves), "roughness_ratio", "spearman_x_to_effect")
+
+
+_SMOOTH = [-3, 12, 17, 12, -3]
+_EDGE = ([31, 9, -3, -5, 3], [9, 13, 12, 6, -5])
+
+
+def _dot(weights, names) -> str:
+    return "(" + " + ".join(f"{w} * {n}" for w, n in zip(weights, names)) + ") / 35.0"
+
+
+@query(
+    "smoothed_curves", "WN10",
+    sql_with(RAW_SQL, EFFECTS_SQL, CURVES_SQL, "placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS i, count(*) OVER (PARTITION BY feature) AS n, "
+             + ", ".join(f"lag(effect, {k}) OVER w AS b{k}, lead(effect, {k}) OVER w AS a{k}" for k in range(1, 5))
+             + " FROM curves WINDOW w AS (PARTITION BY feature ORDER BY x))",
+             body=f"""SELECT feature, x, round(effect, 6) AS effect, round(CASE WHEN i = 1 THEN {_dot(_EDGE[0], ['effect', 'a1', 'a2', 'a3', 'a4'])}
+      WHEN i = 2 THEN {_dot(_EDGE[1], ['b1', 'effect', 'a1', 'a2', 'a3'])} WHEN i = n THEN {_dot(_EDGE[0], ['effect', 'b1', 'b2', 'b3', 'b4'])}
+      WHEN i = n - 1 THEN {_dot(_EDGE[1], ['a1', 'effect', 'b1', 'b2', 'b3'])} ELSE {_dot(_SMOOTH, ['b2', 'b1', 'effect', 'a1', 'a2'])} END, 6) AS smoothed FROM placed"""),
+)
+def smoothed_curves(spark, sf_dir):
+    return _rounded(X.smooth(X.response_curve(effects_table(spark, sf_dir)), 5), "effect", "smoothed")
+
+
+@query(
+    "severity_profile", "EX8 SCL17",
+    sql_with(RAW_SQL, EXAMPLE_SQL, """raw AS (SELECT "Origin" AS origin_airport, "Dest" AS destination_airport, departure_hour AS scheduled_departure_hour,
+      unnest([15, 30, 60, 120]) AS delay_threshold_minutes, unnest([score_a, score_b, score_a / 2, score_a * 0.75]) AS raw_probability FROM example)""",
+             body="SELECT *, min(raw_probability) OVER (ORDER BY delay_threshold_minutes) AS coherent_probability FROM raw"),
+)
+def severity_profile(spark, sf_dir):
+    df = eligible_flights(spark, sf_dir, "row_key", "Origin", "Dest", "departure_hour", "score_a", "score_b", "ArrDel15", "disc", "Cancelled", "Diverted")
+    candidate = (F.col("ArrDel15") == 1) & F.col("score_a").between(0.45, 0.78) & (V.sum_of_flags(["Cancelled", "Diverted"]) == 0) & (F.col("disc") > 3)
+    example = X.nearest_row(df, candidate, F.col("score_a"), 0.72, "row_key").select(
+        F.col("Origin").alias("origin_airport"), F.col("Dest").alias("destination_airport"), F.col("departure_hour").alias("scheduled_departure_hour"),
+        F.col("score_a").alias("p15"), F.col("score_b").alias("p30"), (F.col("score_a") / 2).alias("p60"), (F.col("score_a") * 0.75).alias("p120"),
+    )
+    keep = ["origin_airport", "destination_airport", "scheduled_departure_hour"]
+    return X.severity_profile(example, {15: "p15", 30: "p30", 60: "p60", 120: "p120"}, keep)

@@ -65,7 +65,8 @@ def _pairs(df: DataFrame, names: Sequence[str], columns: Sequence[str], out: str
     """Correlations of all pairs from one aggregation; NULL when a column is constant."""
     pairs = list(combinations(range(len(names)), 2))
     stats = df.agg(
-        *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(columns)],
+        # A constant column may show a rounding-size spread, so it is told by its ends.
+        *[F.when(F.min(c) < F.max(c), F.stddev_pop(c)).alias(f"_s{i}") for i, c in enumerate(columns)],
         *[F.covar_pop(columns[i], columns[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
     correlation = lambda i, j: F.try_divide(F.col(f"_c{i}_{j}"), F.col(f"_s{i}") * F.col(f"_s{j}"))

@@ -138,7 +138,8 @@ def pagerank(
                        F.lit(0.0).alias("share"), F.lit(True).alias("own"))
     links = materialize(flows.unionByName(own), "links")
     has_dangling = not known.where("dangling").isEmpty()
-    step = 1 if has_dangling else store_every
+    # A round that spreads lost mass reads its input twice, so its plan doubles.
+    step = min(store_every, 3) if has_dangling else store_every
 
     def advance(state: DataFrame) -> DataFrame:
         last = F.element_at("ranks", -1)
@@ -165,9 +166,7 @@ def pagerank(
         if rounds is None:
             change = lambda i: F.sum(F.abs(F.col("ranks")[i] - F.col("ranks")[i - 1]))
             settled = [F.when(change(i) < F.max("size") * tolerance, i) for i in range(1, width + 1)]
-            stops = materialize(
-                state.groupBy(F.col(snapshot).alias("_s")).agg(F.coalesce(*settled).alias("stop")), "stops"
-            )
+            stops = state.groupBy(F.col(snapshot).alias("_s")).agg(F.coalesce(*settled).alias("stop"))
             joined = state.join(stops, F.col(snapshot) == F.col("_s"))
             finished.append(joined.where("stop IS NOT NULL").select(
                 snapshot, "node", F.get("ranks", F.col("stop")).alias("network_pagerank")))

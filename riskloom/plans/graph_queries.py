@@ -33,7 +33,7 @@ def _round_sql(i: int) -> str:
 
 
 PAGERANK_SQL = ",".join(_round_sql(i) for i in range(1, ROUNDS + 1))
-SETTLE_ROUNDS = 30
+SETTLE_ROUNDS = 60
 
 
 def _settled_sql(i: int) -> str:

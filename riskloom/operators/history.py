@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskloom.functions.values import ratio
 from riskloom.operators.joins import lookup_join
+from riskloom.session import materialize
 
 
 def daily_outcomes(df: DataFrame, date: str, keys: Sequence[str], label: str) -> DataFrame:
@@ -34,14 +35,16 @@ def trailing_features(
 ) -> DataFrame:
     """Origin and destination rates over days -8..-2 and route rates over -29..-2.
 
-    The route-days are aggregated first and feed all three, so the events are
-    shuffled once. Only days with an eligible event on the route get a row.
+    The events are read and shuffled once: the route-days are stored and feed
+    all three rates. Only days with an eligible event on the route get a row.
     """
-    routes = daily_outcomes(df, date, [origin, dest], label)
+    routes = materialize(daily_outcomes(df, date, [origin, dest], label), "route-days")
 
     def rates(keys, name, from_day):
         window = W.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-from_day, -2)
-        days = routes.groupBy(date, *keys).agg(F.sum("delayed").alias("delayed"), F.sum("n").alias("n"))
+        days = routes
+        if len(keys) == 1:
+            days = routes.groupBy(date, *keys).agg(F.sum("delayed").alias("delayed"), F.sum("n").alias("n"))
         return days.select(date, *keys, ratio(F.sum("delayed").over(window), F.sum("n").over(window)).alias(name))
 
     route = rates([origin, dest], "route_recent_delay_rate", 29)

@@ -10,6 +10,7 @@ from riskloom.catalog import HAZARD_GROUPS, HAZARD_SIGNIFICANCE
 from riskloom.functions.temporal import ceil_hour, floor_hour, parse_compact
 from riskloom.functions.values import lookup
 from riskloom.operators.joins import broadcast_if_small
+from riskloom.session import fan_out
 
 
 def clean_intervals(df: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def lead_bounds(lead_hours: int = 24) -> dict[str, Column]:
 
 def expand_hours(df: DataFrame, keep: Sequence[str], lead_hours: int = 24) -> DataFrame:
     """Hourly rows of both spans as a union, flagged by the span they come from."""
-    bounded = df.withColumns(lead_bounds(lead_hours))
+    bounded = fan_out(df.withColumns(lead_bounds(lead_hours)).select(*keep, "first_hour", "forecast_end", "active_end"))
 
     def span(end: str, forecast: int) -> DataFrame:
         return bounded.select(
@@ -121,7 +122,8 @@ def hazard_hours(df: DataFrame, airport: str = "airport", lead_hours: int = 24)
     single expansion of the active span with a forecast flag gives the same
     table as the union with half the rows.
     """
-    bounded = df.withColumns(lead_bounds(lead_hours))
+    bounded = fan_out(df.withColumns(lead_bounds(lead_hours)).select(
+        airport, "hazard_group", "severity", "first_hour", "forecast_end", "active_end"))
     hours = bounded.select(
         airport, "hazard_group", "severity", "forecast_end",
         F.explode(hours_between(F.col("first_hour"), F.col("active_end"))).alias("utc_hour"),

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.catalog import HAZARD_GROUPS, HAZARD_SIGNIFICANCE
+from riskloom.functions.temporal import departure_hour
+from riskloom.operators.cohort import add_flags
+from riskloom.session import spread
 
 ZONES = ["America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Phoenix"]
 HUBS = ["Large", "Medium", "Small"]
@@ -20,8 +23,27 @@ EVENT_SHIFT_SECONDS = 820_540_800
 _FROM_ORIGIN = {"Origin", "ArrDelay", "ArrDel15", "score_a", "adverse"}
 
 
+SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table with its declared schema, so no job runs to infer one."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_flights(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -31,13 +53,13 @@ def raw_flights(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     is keyed uniquely and complete, so leaving one out keeps the same rows.
     """
     need = set(columns)
-    item = table(spark, sf_dir, "lineitem").select(
+    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey").select(
         F.col("l_orderkey").alias("ok"),
         F.col("l_partkey").alias("pk"),
         F.col("l_suppkey").alias("sk"),
         F.col("l_linenumber").alias("ln"),
         F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("disc"),
+        F.floor(F.col("l_discount") * 100 + 0.5).cast("int").alias("disc"),
         F.col("l_shipdate").cast("date").alias("FlightDate"),
     )
     if need & _FROM_ORIGIN:
@@ -59,43 +81,38 @@ def raw_flights(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("Reporting_Airline"))
         item = item.join(part, F.col("pk") == F.col("p_partkey"))
 
-    ok, pk, sk, ln, qty, disc = (F.col(c) for c in ("ok", "pk", "sk", "ln", "qty", "disc"))
-    hour = ((7 * ok + 13 * pk + 3 * ln) % 24).cast("int")
-    late = (hour >= 15).cast("int")
-    elapsed = F.when(pk % 97 == 0, F.lit(0.0)).when(pk % 89 == 0, F.lit(None).cast("double")).otherwise(30 + 6 * qty)
-    cancelled = ((ok + 3 * pk) % 59 == 0).cast("int")
-    diverted = (((ok + 3 * pk) % 59 != 0) & ((ok + sk) % 401 == 0)).cast("int")
-    flown = (cancelled == 0) & (diverted == 0)
+    # Stepwise, so that a value used by several columns is computed once.
+    ok, pk, sk, ln, qty = (F.col(c) for c in ("ok", "pk", "sk", "ln", "qty"))
+    flagged = (ok + 3 * pk) % 59 == 0
+    item = item.withColumns({
+        "hour": ((7 * ok + 13 * pk + 3 * ln) % 24).cast("int"),
+        "Cancelled": flagged.cast("int"),
+        "Diverted": (~flagged & ((ok + sk) % 401 == 0)).cast("int"),
+    })
+    late = (F.col("hour") >= 15).cast("int")
     from_origin = F.col("onk") % 5 if need & _FROM_ORIGIN else F.lit(None).cast("int")
-    delay = (
-        4 * disc + 12 * late + 2 * from_origin - 45
-        + (31 * ok + 17 * pk + 5 * ln) % 41
-        + 150 * ((5 * ok + 11 * pk) % 50 == 0).cast("int")
+    item = item.withColumn(
+        "raw_delay",
+        4 * F.col("disc") + 12 * late + 2 * from_origin - 45 + (31 * ok + 17 * pk + 5 * ln) % 41
+        + 150 * ((5 * ok + 11 * pk) % 50 == 0).cast("int"),
     )
-    score_a = 20 + 8 * disc + 24 * late + 4 * from_origin + (13 * ok + 29 * pk) % 60
+    flown = (F.col("Cancelled") == 0) & (F.col("Diverted") == 0)
     derived = {
         "row_key": F.concat_ws("-", ok, ln, pk, sk),
         "year": F.year("FlightDate"),
-        "CRSDepTime": (100 * hour + pk % 60).cast("int"),
-        "CRSElapsedTime": elapsed.cast("double"),
+        "CRSDepTime": (100 * F.col("hour") + pk % 60).cast("int"),
+        "CRSElapsedTime": F.when(pk % 97 == 0, F.lit(0.0)).when(pk % 89 != 0, 30 + 6 * qty).cast("double"),
         "Distance": F.when(pk % 79 == 0, F.lit(0.0)).when(pk % 83 != 0, 8 * (30 + 6 * qty)).cast("double"),
-        "Cancelled": cancelled,
-        "Diverted": diverted,
-        "ArrDelay": F.when(flown, delay.cast("double")),
-        "ArrDel15": F.when(flown, (delay >= 15).cast("double")),
-        "score_a": score_a.cast("double") / 400,
+        "ArrDelay": F.when(flown, F.col("raw_delay").cast("double")),
+        "ArrDel15": F.when(flown, (F.col("raw_delay") >= 15).cast("double")),
+        "score_a": (20 + 8 * F.col("disc") + 24 * late + 4 * from_origin + (13 * ok + 29 * pk) % 60).cast("double") / 400,
         "score_b": (50 + (7 * ok + pk) % 200).cast("double") / 400,
-        "disc": disc,
-        "qty": qty,
     }
     return item.select(*[derived[c].alias(c) if c in derived else F.col(c) for c in columns])
 
 
 def labelled_flights(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Bound flights with the cohort flags and calendar parts asked for."""
-    from riskloom.operators.cohort import add_flags
-    from riskloom.functions.temporal import departure_hour
-
     base = {
         "primary_eligible": ("Cancelled", "Diverted", "ArrDel15"),
         "adverse_operation": ("Cancelled", "Diverted", "ArrDel15"),
@@ -144,7 +161,7 @@ def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = -120.0 + 2 * (user % 25), 25.0 + user % 25
     half_x, half_y = 0.5 + event % 3, 0.5 + event % 2
     corner = lambda sx, sy: F.struct((x + sx * half_x).alias("x"), (y + sy * half_y).alias("y"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         event.alias("hazard_id"),
         F.when(event % 307 == 0, F.lit("unknown")).otherwise(compact(issued)).alias("ISSUED"),
         compact(issued + length).alias("EXPIRED"),

@@ -12,6 +12,7 @@ from riskloom.operators.profile import daily_anomalies, daily_series
 from riskloom.plans import binding as B, flights as P
 from riskloom.plans.binding import AIRPORTS_SQL, HAZARDS_SQL, HOLIDAYS_SQL, HUBS_SQL, RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.registry import query
+from riskloom.session import materialize
 
 NTZ = "timestamp_ntz"
 GROUPS = sorted(set(HAZARD_GROUPS.values()))
@@ -446,7 +447,7 @@ _RAW_COLUMNS = (
 
 def processed(spark, sf_dir) -> DataFrame:
     """The processed store of the bound flights."""
-    raw = B.raw_flights(spark, sf_dir, *_RAW_COLUMNS)
+    raw = materialize(B.raw_flights(spark, sf_dir, *_RAW_COLUMNS), "raw")
     return P.processed_flights(raw, B.airports(spark, sf_dir), B.holidays(spark, sf_dir), hours_table(spark, sf_dir))
 
 

@@ -18,7 +18,7 @@ from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
 from riskloom.plans.profile_queries import metrics_sql
 from riskloom.plans.registry import query
-from riskloom.session import materialize, scratch_dir
+from riskloom.session import materialize, scratch_dir, spread
 from riskloom.sources import store
 
 RATES = ["origin_recent_delay_rate", "destination_recent_delay_rate", "route_recent_delay_rate"]
@@ -35,6 +35,7 @@ def model_table(spark, sf_dir):
         spark, sf_dir, "row_key", "FlightDate", "year", "month", "day_of_week", "departure_hour", "Reporting_Airline",
         "Origin", "Dest", "CRSElapsedTime", "disc", "ArrDel15", "ArrDelay", "primary_eligible",
     )
+    df = materialize(df, "flights")
     counted = eligible(history.congestion(df))
     rates = history.trailing_features(eligible(df))
     joined = joins.lookup_join(counted, rates, {c: c for c in ("FlightDate", "Origin", "Dest")}, validate=False)
@@ -53,7 +54,7 @@ _MODEL_PARTS = (RAW_SQL, TRAILING_SQL, MODEL_SQL)
 def split_table(spark, sf_dir):
     stored = materialize(model_table(spark, sf_dir), "model")
     parts = temporal_split(stored, 1999, 2000, 2001)
-    return parts["fit"], parts["validate"], parts["test"]
+    return spread(parts["fit"]), parts["validate"], parts["test"]
 
 
 # --- feature preparation ----------------------------------------------------------------
@@ -96,7 +97,8 @@ def _mean_sql(a: str, b: str) -> str:
       ({DURATION} IS NULL)::INT AS scheduled_duration_history_unavailable FROM model_rows LEFT JOIN medians USING (origin_airport, destination_airport)"""),
 )
 def backoff_imputation(spark, sf_dir):
-    df = model_table(spark, sf_dir).select("row_key", "year", "origin_airport", "destination_airport", DURATION, *RATES)
+    columns = ["row_key", "year", "origin_airport", "destination_airport", DURATION, *RATES]
+    df = materialize(model_table(spark, sf_dir).select(*columns), "model")
     fitted = ML.fit_backoff(df.where("year <= 1999"), RATES, DURATION, ["origin_airport", "destination_airport"])
     return _rounded(ML.apply_backoff(df, fitted).drop("year", "origin_airport", "destination_airport"), *RATES)
 
@@ -111,7 +113,7 @@ def backoff_imputation(spark, sf_dir):
 )
 def standardized_numbers(spark, sf_dir):
     columns = [DURATION, RATES[0]]
-    df = model_table(spark, sf_dir).select("row_key", "year", *columns)
+    df = materialize(model_table(spark, sf_dir).select("row_key", "year", *columns), "model")
     return _rounded(ML.standardize(df, df.where("year <= 1999"), columns).drop("year"), *columns)
 
 
@@ -158,9 +160,10 @@ FLAGS = [*[f"{r}_history_unavailable" for r in RATES], "scheduled_duration_histo
 
 def prepared(spark, sf_dir):
     """Fit, validation and test rows with complete numbers and missing flags."""
-    fit, valid, test = split_table(spark, sf_dir)
-    fitted = ML.fit_backoff(fit, RATES, DURATION, ["origin_airport", "destination_airport"])
-    return [materialize(ML.apply_backoff(part, fitted), "prepared") for part in (fit, valid, test)]
+    rows = materialize(model_table(spark, sf_dir), "model")
+    fitted = ML.fit_backoff(rows.where("year <= 1999"), RATES, DURATION, ["origin_airport", "destination_airport"])
+    parts = temporal_split(materialize(ML.apply_backoff(rows, fitted), "prepared"), 1999, 2000, 2001)
+    return spread(parts["fit"]), parts["validate"], parts["test"]
 
 
 def _metrics_of(scored, models):

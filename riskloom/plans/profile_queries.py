@@ -13,7 +13,7 @@ from riskloom.plans import binding as B, flights as P
 from riskloom.plans.binding import HUBS_SQL, RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
 from riskloom.plans.registry import query
-from riskloom.session import scratch_dir
+from riskloom.session import materialize, scratch_dir
 from riskloom.sources import store
 
 # --- descriptive profiles -----------------------------------------------------------
@@ -184,6 +184,7 @@ def missing_kind(feature):
 def audited(spark, sf_dir):
     df = eligible_flights(spark, sf_dir, "FlightDate", "year", "Reporting_Airline", "Origin", "Dest", "CRSElapsedTime",
                           "departure_hour", "ArrDel15")
+    df = materialize(df, "flights")
     rates = history.trailing_features(df)
     df = joins.lookup_join(df, rates, {c: c for c in ("FlightDate", "Origin", "Dest")}, validate=False)
     hubs = P.hub_dimension(B.hub_classes(spark, sf_dir)).select("airport", "faa_hub_category")

@@ -16,6 +16,8 @@ def build_session(app_name: str = "riskloom", master: str | None = None, **conf)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Split a hot key even when that costs one more shuffle further up.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # HotSpot leaves methods above 8000 bytecodes uncompiled; fall back before that.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
     }
@@ -62,3 +64,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core for a scan that comes in fewer splits than there are cores.
+
+    A large table has more splits than that and is returned as it is, so no
+    shuffle is added where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before each of them turns into many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -171,7 +171,8 @@ def correlation_ratio(df: DataFrame, categories: Sequence[str], numbers: Sequenc
     grand = sums.select(
         *[F.col(k).alias(f"_{k}") for k in key], "within", (F.col("weighted") / F.col("rows")).alias("grand")
     )
-    joined = groups.join(grand, [F.col(k) == F.col(f"_{k}") for k in key])
+    # One row per pair of columns.
+    joined = groups.join(F.broadcast(grand), [F.col(k) == F.col(f"_{k}") for k in key])
     gap = F.col("mean") - F.col("grand")
     out = joined.groupBy(*key).agg(F.sum(n * gap * gap).alias("between"), F.max("within").alias("within"))
     total = F.col("between") + F.col("within")

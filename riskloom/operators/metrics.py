@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.values import log_loss, ratio
+from riskloom.operators.joins import broadcast_if_small
 from riskloom.operators.ordering import pick_quantiles, running_totals
 from riskloom.session import materialize
 
@@ -79,8 +80,9 @@ def evaluate(
         all_pos.alias("_positives"),
     )
     cut = upper_cutoff(ranked, by)
+    # One row per model or threshold; a hot key in a shuffled join would be the whole table.
     top = (
-        ranked.join(cut.select(*[F.col(c).alias(f"_{c}") for c in by], "cutoff"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        ranked.join(broadcast_if_small(cut).select(*[F.col(c).alias(f"_{c}") for c in by], "cutoff"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
         if by else ranked.withColumn("cutoff", cut.scalar())
     )
     tops = top.where(F.col("score") >= F.col("cutoff")).groupBy(*by).agg(
@@ -131,7 +133,7 @@ def calibration_bins(scores: DataFrame, by: Sequence[str] = ("model",), bins: in
     edges = pick_quantiles(totals, "score", "n", [i / bins for i in range(1, bins)], by)
     # At most bins - 1 edges per group reach one row.
     edge_list = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.collect_list("quantile").alias("edges"))
-    binned = totals.join(edge_list, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).withColumn(
+    binned = totals.join(broadcast_if_small(edge_list), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e < F.col("score")))
     )
     return binned.groupBy(*by, "bin").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.temporal import next_month_start
+from riskloom.functions.values import positive_or_null
 from riskloom.operators import graph as G, joins
 from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.feature_queries import eligible_flights
@@ -136,7 +137,7 @@ def normalized_adjacency(spark, sf_dir):
 
 
 PROFILE_SQL = """fit AS (SELECT * REPLACE (CASE WHEN "CRSElapsedTime" > 0 THEN "CRSElapsedTime" END AS "CRSElapsedTime") FROM flights
-  WHERE primary_eligible = 1 AND "year" <= 1999 AND NOT ("Dest" = 'NATION_3') AND NOT ("Origin" = 'NATION_5')
+  WHERE primary_eligible = 1 AND "year" <= 1999
 ), profile AS (
   SELECT * FROM (SELECT "Origin" AS node, count(*) AS out_flights, avg("ArrDel15") AS out_delay_rate, count(DISTINCT "Dest") AS out_unique_neighbors,
     avg("CRSElapsedTime") AS out_mean_duration FROM fit GROUP BY "Origin")
@@ -148,10 +149,8 @@ _COUNTS, _OTHERS = ["out_flights", "in_flights"], [
 
 
 def profile(spark, sf_dir):
-    from riskloom.functions.values import positive_or_null
-
     df = eligible_flights(spark, sf_dir, "Origin", "Dest", "year", "ArrDel15", "CRSElapsedTime").where(
-        "year <= 1999 AND Dest <> 'NATION_3' AND Origin <> 'NATION_5'"
+        "year <= 1999"
     ).withColumn("CRSElapsedTime", positive_or_null(F.col("CRSElapsedTime")))
     return G.node_profile(df, "Origin", "Dest", "ArrDel15", "CRSElapsedTime")
 

@@ -120,13 +120,12 @@ def standardized_numbers(spark, sf_dir):
 @query(
     "indexed_levels", "ML6",
     sql_with(RAW_SQL, """known AS (SELECT airline, row_number() OVER (ORDER BY airline) AS i FROM (
-      SELECT DISTINCT "Reporting_Airline" AS airline FROM flights WHERE "year" <= 1999 AND "Reporting_Airline" <> 'Brand#7'))""",
+      SELECT DISTINCT "Reporting_Airline" AS airline FROM flights WHERE "year" <= 1999))""",
              body="""SELECT row_key, CAST(coalesce(i, 0) AS INTEGER) AS airline_index FROM flights LEFT JOIN known ON "Reporting_Airline" = airline"""),
 )
 def indexed_levels(spark, sf_dir):
     df = labelled_flights(spark, sf_dir, "row_key", "year", "Reporting_Airline")
-    train = df.where("year <= 1999 AND Reporting_Airline <> 'Brand#7'")
-    return ML.index_levels(df, train, "Reporting_Airline", "airline_index").select("row_key", "airline_index")
+    return ML.index_levels(df, df.where("year <= 1999"), "Reporting_Airline", "airline_index").select("row_key", "airline_index")
 
 
 @query(

@@ -48,10 +48,11 @@ def require_months(df: DataFrame, years: Sequence[int], year: str = "year", mont
 def write_store(df: DataFrame, root: str, partition_by: Sequence[str] = ("year", "month"), overwrite: bool = False) -> None:
     """Write zstd Parquet by partition; a finished store is kept unless ``overwrite``.
 
-    Overwriting replaces only the partitions present in ``df``. Rows are spread
-    by partition and a hash, so a large month is written by several tasks.
+    Overwriting replaces only the partitions present in ``df``. The rebalance
+    brings a partition's rows together without many small files, and splits a
+    partition too large for one task.
     """
-    writer = df.write.partitionBy(*partition_by).option("compression", "zstd")
+    writer = df.hint("rebalance", *[F.col(c) for c in partition_by]).write.partitionBy(*partition_by).option("compression", "zstd")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
     else:

@@ -125,6 +125,16 @@ def test_neighbour_mean_and_normalized(spark):
     assert abs({r[0]: r[1] for r in G.neighbour_mean(df, features, ["v"], out=False).collect()}["C"] - (0.1 * 0 + 0.9 * 1)) < 1e-12
 
 
+def test_node_profile_keeps_one_sided_nodes(spark):
+    data = [("A", "B", 1.0, 60.0), ("A", "B", 0.0, None), ("A", "C", None, 90.0)]
+    df = spark.createDataFrame(data, "o string, d string, y double, m double")
+    out = {r["node"]: r for r in G.node_profile(df, "o", "d", "y", "m").collect()}
+    assert (out["A"]["out_flights"], out["A"]["out_delay_rate"], out["A"]["out_unique_neighbors"], out["A"]["out_mean_duration"]) == (3, 0.5, 2, 75.0)
+    assert out["A"]["in_flights"] is None and out["B"]["out_flights"] is None and out["C"]["in_delay_rate"] is None
+    scaled = G.standardize_nodes(G.node_profile(df, "o", "d", "y", "m"), ["out_flights", "in_flights"], ["in_delay_rate"]).collect()
+    assert abs(sum(r["in_flights"] for r in scaled)) < 1e-9 and all(r["out_flights"] == 0.0 for r in scaled)
+
+
 # --- polygons and intervals ---------------------------------------------------------------
 
 TRIANGLE = [[(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]]

@@ -55,6 +55,26 @@ def test_congestion_with_one_hot_day(spark):
     assert rows(history.congestion(df).groupBy("origin_daily_scheduled").count()) == [(2700, 2700), (300, 300)]
 
 
+def test_hot_key_of_a_shuffled_lookup_is_split(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        fact = spark.range(0, 60_000, 1, 12).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 500).alias("k"))
+        out = joins.lookup_join(fact, spark.range(500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v")), {"k": "key"}, validate=False)
+        assert out.groupBy().agg(F.count("v"), F.sum(F.col("v") - 2 * F.col("k"))).first() == (60_000, 0)
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_lookup_join_rejects_repeated_keys(spark):
     left = spark.createDataFrame([("A",), ("B",)], "k string")
     right = spark.createDataFrame([("A", 1), ("A", 2)], "k string, v int")

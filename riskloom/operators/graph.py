@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.functions.temporal import month_start, next_month_start
 from riskloom.functions.values import seeded_hash
 from riskloom.operators.ordering import row_numbers
-from riskloom.session import materialize
+from riskloom.session import materialize, materialize_counting
 
 
 def monthly_edges(df: DataFrame, date: str = "FlightDate", src: str = "Origin", dst: str = "Dest") -> DataFrame:
@@ -121,14 +121,15 @@ def pagerank(
     ``nodes * tolerance``; with ``rounds`` all run exactly that many. The mass
     of nodes without departures is spread evenly.
     """
+    edges = materialize(edges, "edges")
     out = edges.groupBy(F.col(snapshot).alias("_s"), F.col("src").alias("_n")).agg(F.sum("weight").alias("_out"))
     nodes = nodes_of(edges, snapshot)
     sizes = nodes.groupBy(F.col(snapshot).alias("_z")).agg(F.count(F.lit(1)).cast("double").alias("size"))
-    known = materialize(
+    known, dangling = materialize_counting(
         nodes.join(sizes, F.col(snapshot) == F.col("_z"))
         .join(out, (F.col(snapshot) == F.col("_s")) & (F.col("node") == F.col("_n")), "left")
         .select(snapshot, "node", "size", F.col("_out").isNull().alias("dangling"), "_out"),
-        "nodes",
+        F.col("dangling"), "nodes",
     )
     flows = edges.join(out, (F.col(snapshot) == F.col("_s")) & (F.col("src") == F.col("_n"))).select(
         F.col(snapshot).alias("_s"), "src", "dst", (F.col("weight") / F.col("_out")).alias("share"), F.lit(False).alias("own")
@@ -137,7 +138,7 @@ def pagerank(
     own = known.select(F.col(snapshot).alias("_s"), F.col("node").alias("src"), F.col("node").alias("dst"),
                        F.lit(0.0).alias("share"), F.lit(True).alias("own"))
     links = materialize(flows.unionByName(own), "links")
-    has_dangling = not known.where("dangling").isEmpty()
+    has_dangling = dangling > 0
     # A round that spreads lost mass reads its input twice, so its plan doubles.
     step = min(store_every, 3) if has_dangling else store_every
 
@@ -188,6 +189,7 @@ def betweenness(
     counts and dependencies then flow along the shortest-path edges, one hop
     per round. Exact when a snapshot has no more nodes than ``max_sources``.
     """
+    edges = materialize(edges, "edges")
     nodes = nodes_of(edges, snapshot)
     sizes = nodes.groupBy(F.col(snapshot).alias("_z")).agg(F.count(F.lit(1)).cast("double").alias("size"))
     hashed = nodes.withColumn("_hash", seeded_hash(F.col("node"), seed))
@@ -209,10 +211,9 @@ def betweenness(
             snapshot, "source", F.col("_v").alias("node"), (F.col("d") + F.col("length")).alias("d"), F.lit(None).cast("double").alias("old"))
         known = reached.select(*key, "d", F.col("d").alias("old"))
         best = known.unionByName(tried).groupBy(*key).agg(F.min("d").alias("d"), F.min("old").alias("old"))
-        reached = materialize(
-            best.select(*key, "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("fresh")), "reached"
-        )
-        if reached.where("fresh").isEmpty():
+        shorter = F.col("old").isNull() | (F.col("d") < F.col("old"))
+        reached, changed = materialize_counting(best.select(*key, "d", shorter.alias("fresh")), F.col("fresh"), "reached")
+        if not changed:
             break
 
     ends = reached.select(F.col(snapshot).alias("_es"), F.col("source").alias("_esrc"), F.col("node").alias("_ev"), F.col("d").alias("_ed"))
@@ -229,10 +230,9 @@ def betweenness(
             edge = along.select(F.col(snapshot).alias("_s"), F.col("source").alias("_src"), F.col(near).alias("_near"),
                                 F.col(far).alias("_far"), weight.alias("_w"))
             hop = wave.join(edge, (F.col(snapshot) == F.col("_s")) & (F.col("source") == F.col("_src")) & (F.col("node") == F.col("_near")))
-            wave = materialize(
-                hop.groupBy(snapshot, "source", F.col("_far").alias("node")).agg(F.sum(F.col("value") * F.col("_w")).alias("value")), "wave"
-            )
-            if wave.isEmpty():
+            reach = hop.groupBy(snapshot, "source", F.col("_far").alias("node")).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
+            wave, moved = materialize_counting(reach, F.lit(True), "wave")
+            if not moved:
                 break
             seen.append(wave)
         return reduce(DataFrame.unionByName, seen).groupBy(*key).agg(F.sum("value").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app_name: str = "riskloom", master: str | None = None, **conf) -> SparkSession:
@@ -66,6 +66,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counting(df: DataFrame, condition: Column, label: str = "stage") -> tuple[DataFrame, int]:
+    """``materialize`` that also counts the rows meeting a condition, while they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count_if(condition).alias("n")), label)
+    return stored, seen.get["n"]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core for a scan that comes in fewer splits than there are cores.
 

@@ -343,7 +343,7 @@ def correlation_ratio(spark, sf_dir):
     ), two AS (SELECT 1 / (1 - power(corr("CRSElapsedTime", "Distance"), 2)) AS vif FROM filled)""",
              body="""SELECT (SELECT round(vif, 4) FROM two) AS maximum_numeric_vif, (SELECT max(absolute_correlation) FROM rho) AS maximum_absolute_numeric_spearman,
       (SELECT round(max(v), 6) FROM v) AS maximum_corrected_cramers_v, (SELECT count(*) FROM rho WHERE absolute_correlation >= 0.7) AS numeric_pairs_above_0_7,
-      (SELECT CASE WHEN vif >= 5 THEN 2 ELSE 0 END FROM two) AS vif_above_5"""),
+      (SELECT CAST(CASE WHEN vif >= 5 THEN 2 ELSE 0 END AS BIGINT) FROM two) AS vif_above_5"""),
 )
 def audit_summary(spark, sf_dir):
     df = labelled_flights(spark, sf_dir, *dict.fromkeys([*_NUMERIC, *_CATEGORIES]))

@@ -14,7 +14,7 @@ import numpy as np
 from riskloom.llm import text as T
 
 #: Units a worker remembers, and the longest unit it remembers, in bytes.
-STORED_UNITS = 400_000
+STORED_UNITS = 1_000_000
 STORED_LENGTH = 48
 
 

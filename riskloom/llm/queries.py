@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.byte_bpe import op10_byte_bpe
+from riskloom.llm.ngram_join import op2_ngram_join
 from riskloom.llm.packing import op5_packing
 from riskloom.llm.quality_classifier import op8_quality_classifier
 from riskloom.llm.quality_rules import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op8_quality_classifier": op8_quality_classifier,

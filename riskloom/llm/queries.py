@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm.byte_bpe import op10_byte_bpe
 from riskloom.llm.ngram_join import op2_ngram_join
 from riskloom.llm.packing import op5_packing
+from riskloom.llm.pii import op9_pii
 from riskloom.llm.quality_classifier import op8_quality_classifier
 from riskloom.llm.quality_rules import op4_quality_rules
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}

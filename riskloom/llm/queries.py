@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.byte_bpe import op10_byte_bpe
+from riskloom.llm.knn_join import OP1_SQL, op1_knn_join
 from riskloom.llm.ngram_join import op2_ngram_join
 from riskloom.llm.packing import op5_packing
 from riskloom.llm.pii import op9_pii
@@ -14,6 +15,7 @@ from riskloom.llm.quality_classifier import op8_quality_classifier
 from riskloom.llm.quality_rules import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn_join": op1_knn_join,
     "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
@@ -21,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_knn_join": OP1_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.byte_bpe import op10_byte_bpe
 from riskloom.llm.knn_join import OP1_SQL, op1_knn_join
+from riskloom.llm.license_scan import op6_license_scan
 from riskloom.llm.ngram_join import op2_ngram_join
 from riskloom.llm.packing import op5_packing
 from riskloom.llm.pii import op9_pii
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,

@@ -14,10 +14,12 @@ from riskloom.llm.packing import op5_packing
 from riskloom.llm.pii import op9_pii
 from riskloom.llm.quality_classifier import op8_quality_classifier
 from riskloom.llm.quality_rules import op4_quality_rules
+from riskloom.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_join": op1_knn_join,
     "op2_ngram_join": op2_ngram_join,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.byte_bpe import op10_byte_bpe
+from riskloom.llm.chat_format import op7_chat_format
 from riskloom.llm.knn_join import OP1_SQL, op1_knn_join
 from riskloom.llm.license_scan import op6_license_scan
 from riskloom.llm.ngram_join import op2_ngram_join
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_license_scan": op6_license_scan,
+    "op7_chat_format": op7_chat_format,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,

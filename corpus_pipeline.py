@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import quality_classifier, quality_rules
+from riskloom.llm import ngram_join, packing, pii, quality_classifier, quality_rules
 from riskloom.session import materialize
 
 
@@ -22,7 +22,25 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, quality_rules.fit(docs, _labels(spark, sf_dir)))
 
 
-STAGES = [("quality classifier", classify_quality), ("quality rules", apply_rules)]
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in their texts is replaced by its kind."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with little padding."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", classify_quality), ("quality rules", apply_rules), ("n-gram Jaccard join", join_near_copies),
+    ("personal data", redact_personal_data), ("packing", pack_sequences),
+]
 #: Learned models decide in two stages; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 

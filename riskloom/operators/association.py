@@ -53,7 +53,8 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         table = ranks.where(F.col("feature") == c).select(
             F.col("value").alias("_value"), F.col("average_rank").alias(f"_rank{i}")
         )
-        ranked = ranked.join(table, F.col(c) == F.col("_value")).drop("_value")
+        # A column without any value has no ranks; only its own pairs are NULL then.
+        ranked = ranked.join(table, F.col(c) == F.col("_value"), "left").drop("_value")
     return _pairs(ranked, columns, [f"_rank{i}" for i in range(len(columns))], "spearman_correlation")
 
 

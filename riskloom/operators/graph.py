@@ -181,22 +181,23 @@ def pagerank(
 
 
 def betweenness(
-    edges: DataFrame, snapshot: str = "network_month", max_sources: int = 75, seed: int = 42
+    edges: DataFrame, snapshot: str = "network_month", max_sources: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Shortest-path betweenness by edge length, from at most ``max_sources`` seeded sources.
+    """Shortest-path betweenness by edge length, exact unless ``max_sources`` asks for an estimate.
 
     Distances relax round by round from all sources of all snapshots; path
     counts and dependencies then flow along the shortest-path edges, one hop
-    per round. Exact when a snapshot has no more nodes than ``max_sources``.
+    per round. With ``max_sources`` only that many seeded sources of each snapshot are
+    followed and the sums are scaled up.
     """
     edges = materialize(edges, "edges")
     nodes = nodes_of(edges, snapshot)
     sizes = nodes.groupBy(F.col(snapshot).alias("_z")).agg(F.count(F.lit(1)).cast("double").alias("size"))
     hashed = nodes.withColumn("_hash", seeded_hash(F.col("node"), seed))
-    sources = materialize(
-        row_numbers(hashed, [F.col("_hash"), F.col("node")], [snapshot], "_pick")
-        .where(F.col("_pick") <= max_sources).select(snapshot, F.col("node").alias("source")), "sources",
-    )
+    picked = hashed
+    if max_sources is not None:
+        picked = row_numbers(hashed, [F.col("_hash"), F.col("node")], [snapshot], "_pick").where(F.col("_pick") <= max_sources)
+    sources = materialize(picked.select(snapshot, F.col("node").alias("source")), "sources")
     hops = materialize(
         edges.where("src <> dst").select(F.col(snapshot).alias("_s"), F.col("src").alias("_u"), F.col("dst").alias("_v"), "length"), "hops"
     )
@@ -260,7 +261,7 @@ def betweenness(
     )
 
 
-def lagged_measures(edges: DataFrame, max_sources: int = 75, seed: int = 42) -> DataFrame:
+def lagged_measures(edges: DataFrame, max_sources: int | None = None, seed: int = 42) -> DataFrame:
     """All node measures of a month, dated to the month after it."""
     tables = [pagerank(edges), betweenness(edges, max_sources=max_sources, seed=seed), shares(edges)]
     joined = reduce(lambda a, b: a.join(b, ["network_month", "node"]), tables)

@@ -7,20 +7,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 class DuplicateKeyError(ValueError):
     """The looked-up side has more than one row for a key."""
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a count proves the table has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when one pass proves the table is within ``max_rows`` and ``max_bytes``.
+
+    Bytes are those of the rows written as text, so long strings and arrays count in full.
 
     Beyond that no hint is given and the join shuffles, with hot keys split by
     adaptive execution.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    found = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")
+    ).first()
+    return F.broadcast(df) if found["n"] <= max_rows and found["size"] <= max_bytes else df
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

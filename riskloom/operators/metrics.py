@@ -65,7 +65,9 @@ def evaluate(
 ) -> DataFrame:
     """ROC AUC, average precision, log loss, Brier score and top-decile metrics per group."""
     by = list(by)
-    ranked = materialize(ranked_scores(scores, by, label, score), "ranked")
+    # Scores are clipped before anything is ranked, so those beyond the ends tie.
+    clipped = scores.withColumn(score, F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1 - eps)))
+    ranked = materialize(ranked_scores(clipped, by, label, score), "ranked")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     all_pos, all_neg = F.max("total_pos").cast("double"), F.max("total_neg").cast("double")
     rows = F.max("total_n").cast("double")

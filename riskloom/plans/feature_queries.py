@@ -65,7 +65,7 @@ def trailing_route_rate(spark, sf_dir):
     return history.trailing_rate(flown, "FlightDate", ["Origin", "Dest"], "ArrDel15", "route_recent_delay_rate", 29, 2)
 
 
-@query("trailing_features", "JN3 WN1 WN2 AG11 SRC6", sql_with(RAW_SQL, TRAILING_SQL, body="SELECT * FROM rates"))
+@query("trailing_features", "JN3 WN1 WN2 AG11", sql_with(RAW_SQL, TRAILING_SQL, body="SELECT * FROM rates"))
 def trailing_features(spark, sf_dir):
     return history.trailing_features(eligible_flights(spark, sf_dir, "FlightDate", "Origin", "Dest", "ArrDel15"))
 
@@ -264,13 +264,11 @@ def airport_codes(spark, sf_dir):
 @query(
     "served_airports", "FLT8 SRC7",
     sql_with(RAW_SQL, AIRPORTS_SQL, body="""SELECT * FROM airports
-      WHERE airport IN (SELECT "Origin" FROM flights WHERE "month" IN (1, 4) AND day_of_week = 2 AND "year" = 1999)"""),
+      WHERE airport IN (SELECT "Origin" FROM flights UNION SELECT "Dest" FROM flights)"""),
 )
 def served_airports(spark, sf_dir):
-    used = labelled_flights(spark, sf_dir, "Origin", "month", "day_of_week", "year").where(
-        F.col("month").isin(1, 4) & (F.col("day_of_week") == 2) & (F.col("year") == 1999)
-    )
-    return joins.keep_members(B.airports(spark, sf_dir), "airport", used, "Origin")
+    used = joins.distinct_union(labelled_flights(spark, sf_dir, "Origin", "Dest"), ["Origin", "Dest"], "code")
+    return joins.keep_members(B.airports(spark, sf_dir), "airport", used, "code")
 
 
 HOLIDAY_FEATURES_SQL = """dated AS (

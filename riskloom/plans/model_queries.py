@@ -468,23 +468,32 @@ def risk_waterfall(spark, sf_dir):
 _advice = " ".join(f"WHEN '{f}' THEN {_q(a)}" for f, a in SHAPE_ADVICE.items())
 
 
-@query(
-    "shape_review", "EX6 WN9",
-    sql_with(RAW_SQL, EFFECTS_SQL, CURVES_SQL, """steps AS (
+_SHAPE_PARTS = (RAW_SQL, EFFECTS_SQL, CURVES_SQL, """steps AS (
       SELECT *, effect - lag(effect) OVER w AS d1, max(effect) OVER (PARTITION BY feature) - min(effect) OVER (PARTITION BY feature) AS span,
         rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY feature ORDER BY effect) + (count(*) OVER (PARTITION BY feature, effect) - 1) / 2.0 AS ry FROM curves WINDOW w AS (PARTITION BY feature ORDER BY x)
     ), turns AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY feature ORDER BY x) AS d2 FROM steps
-    ), material AS (SELECT feature, sign(d1) AS s, lag(sign(d1)) OVER (PARTITION BY feature ORDER BY x) AS before FROM steps WHERE abs(d1) > greatest(span * 0.005, 1e-5))""",
-             body=f"""SELECT t.feature, count(*) AS bins_or_levels, round(sum(abs(d2)) / greatest(sum(abs(d1)), 1e-9), 6) AS roughness_ratio,
+    ), material AS (SELECT feature, sign(d1) AS s, lag(sign(d1)) OVER (PARTITION BY feature ORDER BY x) AS before FROM steps WHERE abs(d1) > greatest(span * 0.005, 1e-5))""")
+_SHAPE_BODY = f"""SELECT t.feature, count(*) AS bins_or_levels, round(sum(abs(d2)) / greatest(sum(abs(d1)), 1e-9), 6) AS roughness_ratio,
       (SELECT count(*) FROM material m WHERE m.feature = t.feature AND s <> before) AS direction_reversals, round(corr(rx, ry), 6) AS spearman_x_to_effect,
-      CASE t.feature {_advice} ELSE {_q(DEFAULT_SHAPE_ADVICE)} END AS production_recommendation FROM turns t GROUP BY t.feature"""),
-)
+      CASE t.feature {_advice} ELSE {_q(DEFAULT_SHAPE_ADVICE)} END AS production_recommendation FROM turns t GROUP BY t.feature"""
+
+
+@query("shape_review", "EX6 WN9", sql_with(*_SHAPE_PARTS, body=_SHAPE_BODY))
 def shape_review(spark, sf_dir):
     curves = X.response_curve(effects_table(spark, sf_dir))
     return _rounded(X.shape_review(curves), "roughness_ratio", "spearman_x_to_effect")
 
 
+@query(
+    "reported_shapes", "FLT9 TK1",
+    sql_with(*_SHAPE_PARTS, body=f"SELECT * FROM ({_SHAPE_BODY}) WHERE feature NOT IN ('airline', 'scheduled_departure_hour') AND roughness_ratio IS NOT NULL"),
+)
+def reported_shapes(spark, sf_dir):
+    table = shape_review(spark, sf_dir)
+    return table.where(~F.col("feature").isin("airline", "scheduled_departure_hour") & F.col("roughness_ratio").isNotNull())
+
+
 _SMOOTH = [-3, 12, 17, 12, -3]
 _EDGE = ([31, 9, -3, -5, 3], [9, 13, 12, 6, -5])
 

@@ -157,7 +157,7 @@ def busiest_day_per_origin(spark, sf_dir):
 
 _AUDITED = ["airline", "scheduled_duration_minutes", "origin_recent_delay_rate", "destination_recent_delay_rate",
             "route_recent_delay_rate", "origin_faa_hub_category", "scheduled_departure_hour"]
-# Reasons why a feature can be missing, and how the logistic model handles it.
+# Reasons why a feature can be missing, and how each kind of model handles it.
 MISSING_REASON = {
     "history": "Insufficient lag history for a new date/airport/route",
     "duration": "Missing or nonpositive BTS scheduled duration",
@@ -172,6 +172,20 @@ MISSING_HANDLING = {
     "category": "Explicit Unknown / unclassified category",
     "none": "Observed value; no imputation",
 }
+TREE_HANDLING = {
+    "history": "Native learned missing branch; no imputation",
+    "duration": "Native learned missing branch; no imputation",
+    "hub": "Explicit Unknown / unclassified category",
+    "category": "Explicit Unknown / unclassified category",
+    "none": "Native learned missing branch if a future NaN occurs",
+}
+ADDITIVE_HANDLING = {
+    "history": "Native missing-value bin; no imputation",
+    "duration": "Native missing-value bin; no imputation",
+    "hub": "Explicit Unknown / unclassified category",
+    "category": "Explicit Unknown / unclassified category",
+    "none": "Native missing-value bin if a future NaN occurs",
+}
 
 
 def missing_kind(feature):
@@ -205,12 +219,13 @@ _kinds = {f: ("history" if f.endswith("_delay_rate") else "duration" if "duratio
 
 
 @query(
-    "feature_missingness", "AG18 SCL14 SCL15 ST6 FLT9",
+    "feature_missingness", "AG18 SCL14 SCL15 ST6",
     sql_with(*_AUDIT_PARTS, body=" UNION ALL ".join(
         f"""SELECT split, '{f}' AS feature, '{DISPLAY[f]}' AS display_name, count(*) AS "rows", count(*) - count({f}) AS missing_observations,
           (count(*) - count({f})) / count(*) AS missing_share, avg(CASE WHEN {f} IS NULL THEN label END) AS delay_rate_when_missing,
           avg(CASE WHEN {f} IS NOT NULL THEN label END) AS delay_rate_when_present, '{MISSING_REASON[_kinds[f]]}' AS structural_reason,
-          '{MISSING_HANDLING[_kinds[f]]}' AS logistic_handling FROM audited GROUP BY split"""
+          '{MISSING_HANDLING[_kinds[f]]}' AS logistic_handling, '{TREE_HANDLING[_kinds[f]]}' AS xgboost_handling,
+          '{ADDITIVE_HANDLING[_kinds[f]]}' AS ebm_handling FROM audited GROUP BY split"""
         for f in _AUDITED)),
 )
 def feature_missingness(spark, sf_dir):
@@ -220,6 +235,8 @@ def feature_missingness(spark, sf_dir):
         "display_name": V.display_name(F.col("feature"), DISPLAY),
         "structural_reason": V.lookup(kind, MISSING_REASON, F.lit(None)),
         "logistic_handling": V.lookup(kind, MISSING_HANDLING, F.lit(None)),
+        "xgboost_handling": V.lookup(kind, TREE_HANDLING, F.lit(None)),
+        "ebm_handling": V.lookup(kind, ADDITIVE_HANDLING, F.lit(None)),
     })
 
 
@@ -370,10 +387,10 @@ def exact_sample(spark, sf_dir):
 
 @query(
     "row_sample", "TK7",
-    sql_with(RAW_SQL, body="""SELECT row_key FROM flights WHERE "year" = 2001 ORDER BY md5(row_key || '-7') LIMIT 5000"""),
+    sql_with(RAW_SQL, body="""SELECT row_key FROM flights ORDER BY md5(row_key || '-7') LIMIT 5000"""),
 )
 def row_sample(spark, sf_dir):
-    df = labelled_flights(spark, sf_dir, "row_key", "year").where("year = 2001").select("row_key")
+    df = labelled_flights(spark, sf_dir, "row_key")
     return sampling.exact_sample(df, 5000, "row_key", 7, allow_fewer=True)
 
 
@@ -554,8 +571,9 @@ _IO_SCHEMA = "row_key STRING, FlightDate DATE, Origin STRING, CRSDepTime INT, Ca
     sql_with(RAW_SQL, body='SELECT row_key, "FlightDate", "CRSDepTime", "ArrDelay" FROM flights'),
 )
 def csv_round_trip(spark, sf_dir):
-    path = _fresh(spark, "csv")
-    store.write_report(labelled_flights(spark, sf_dir, *_IO_COLUMNS), path)
+    # The file holds its columns in another order and more of them than are read.
+    path, wide = _fresh(spark, "csv"), ["Dest", *reversed(_IO_COLUMNS), "Distance"]
+    store.write_report(labelled_flights(spark, sf_dir, *wide).select(*wide), path)
     return store.read_csv(spark, path, _IO_SCHEMA, ["row_key", "FlightDate", "CRSDepTime", "ArrDelay"])
 
 
@@ -573,6 +591,18 @@ def store_round_trip(spark, sf_dir):
     return spark.sql("SELECT row_key, year, month, ArrDelay FROM stored_flights WHERE year IN (1997, 1999)")
 
 
+@query(
+    "hub_traffic", "SRC6 JN4",
+    sql_with(RAW_SQL, HUBS_SQL, body="""SELECT faa_hub_category, count(*) AS flights, count(DISTINCT "Origin") AS airports
+      FROM flights LEFT JOIN hubs ON "Origin" = airport GROUP BY faa_hub_category"""),
+)
+def hub_traffic(spark, sf_dir):
+    labelled_flights(spark, sf_dir, "Origin").createOrReplaceTempView("registered_flights")
+    P.hub_dimension(B.hub_classes(spark, sf_dir)).createOrReplaceTempView("registered_hubs")
+    return spark.sql("""SELECT faa_hub_category, count(*) AS flights, count(DISTINCT Origin) AS airports
+        FROM registered_flights LEFT JOIN registered_hubs ON Origin = airport GROUP BY faa_hub_category""")
+
+
 @query(
     "published_sample", "SNK2 SNK4 TK6",
     sql_with(RAW_SQL, body="""SELECT row_key, "ArrDelay" FROM flights WHERE primary_eligible = 1 ORDER BY md5(row_key || '-43') LIMIT 2000"""),

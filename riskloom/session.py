@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def build_session(app_name: str = "riskloom", master: str | None = None, **conf) -> SparkSession:
@@ -67,10 +67,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def materialize_counting(df: DataFrame, condition: Column, label: str = "stage") -> tuple[DataFrame, int]:
-    """``materialize`` that also counts the rows meeting a condition, while they are written."""
-    seen = Observation()
-    stored = materialize(df.observe(seen, F.count_if(condition).alias("n")), label)
-    return stored, seen.get["n"]
+    """``materialize`` that also counts the stored rows meeting a condition.
+
+    The count reads the stored file: an observation while writing would attach an object to
+    the session that freshly fitted models cannot be sent out with.
+    """
+    stored = materialize(df, label)
+    return stored, stored.where(condition).count()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # Columns and types of a raw schedule file.
 RAW_SCHEMA = (
@@ -20,9 +21,18 @@ class MissingInputError(FileNotFoundError):
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Files with a header in ``schema``'s column order; only ``columns`` are parsed."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-    return df.select(*columns) if columns else df
+    """Columns of ``schema`` by their names in the header, in any order and among any others.
+
+    The files are read as strings under their own header and only the wanted columns are
+    parsed; a value that does not parse is NULL, a column that is missing an error.
+    """
+    wanted = StructType.fromDDL(schema)
+    fields = [wanted[c] for c in columns] if columns else wanted.fields
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise MissingInputError(f"no column {', '.join(missing)} in the header")
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_store(spark: SparkSession, root: str, columns: Sequence[str] = ()) -> DataFrame:
@@ -48,6 +58,9 @@ def require_months(df: DataFrame, years: Sequence[int], year: str = "year", mont
 def write_store(df: DataFrame, root: str, partition_by: Sequence[str] = ("year", "month"), overwrite: bool = False) -> None:
     """Write zstd Parquet by partition; a finished store is kept unless ``overwrite``.
 
+    A folder without the mark of a finished write is what an earlier run left half-way; it
+    is written anew.
+
     Overwriting replaces only the partitions present in ``df``. The rebalance
     brings a partition's rows together without many small files, and splits a
     partition too large for one task.
@@ -55,8 +68,8 @@ def write_store(df: DataFrame, root: str, partition_by: Sequence[str] = ("year",
     writer = df.hint("rebalance", *[F.col(c) for c in partition_by]).write.partitionBy(*partition_by).option("compression", "zstd")
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
-    else:
-        writer.mode("ignore").parquet(root)
+    elif not exists(df.sparkSession, f"{root}/_SUCCESS"):
+        writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(root)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

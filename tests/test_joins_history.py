@@ -115,3 +115,11 @@ def test_nearest_event_distance(spark):
 def test_flags_are_null_safe(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 0, None), (1, 0, None), (None, 0, 1.0), (0, 1, None)], "Cancelled int, Diverted int, ArrDel15 double")
     assert [tuple(r) for r in add_flags(df).select("primary_eligible", "adverse_operation").collect()] == [(1, 1), (0, 0), (0, 1), (0, 1), (0, 1)]
+
+
+def test_broadcast_counts_bytes_too(spark):
+    wide = spark.range(3).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    fact = spark.range(100).withColumnRenamed("id", "k")
+    plan = lambda right: fact.join(right, F.col("k") == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan(joins.broadcast_if_small(wide, max_bytes=20_000))
+    assert "broadcast" in plan(joins.broadcast_if_small(wide, max_bytes=40_000))

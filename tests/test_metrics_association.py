@@ -143,3 +143,16 @@ def test_correlation_ratio_with_missing_category_and_number(spark):
     assert abs(A.correlation_ratio(df, ["c"], ["v"]).first()["correlation_ratio_eta"] - want) < 1e-12
     constant = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "c string, v double")
     assert A.correlation_ratio(constant, ["c"], ["v"]).first()["correlation_ratio_eta"] == 0.0
+
+
+def test_scores_are_clipped_before_they_are_ranked(spark):
+    data = [(1, 1.0), (0, 1.0 - 1e-9), (1, 0.0), (0, -0.5), (1, 0.4), (0, 0.3), (0, 2.0)]
+    got = M.evaluate(scores(spark, [("m", y, s) for y, s in data])).first()
+    auc, ap = brute([(y, min(max(s, 1e-7), 1 - 1e-7)) for y, s in data])
+    assert abs(got["roc_auc"] - auc) < 1e-12 and abs(got["average_precision"] - ap) < 1e-12
+
+
+def test_an_empty_column_empties_only_its_own_pairs(spark):
+    df = spark.createDataFrame([(1.0, 3.0, None), (2.0, 1.0, None), (3.0, 4.0, None), (4.0, 9.0, None)], "a double, b double, c double")
+    got = {(r["feature_1"], r["feature_2"]): r["spearman_correlation"] for r in A.spearman_pairs(df, ["a", "b", "c"]).collect()}
+    assert abs(got["a", "b"] - 0.8) < 1e-12 and got["a", "c"] is None and got["b", "c"] is None

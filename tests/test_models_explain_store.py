@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import explain as X, models as ML, profile as R
 from riskloom.plans import flights as P
+from riskloom.session import materialize
 from riskloom.sources import store
 from tests.conftest import rows
 
@@ -221,3 +222,58 @@ def test_raw_csv_reads_only_named_columns(spark):
         f.write("2024-01-01,AA,JFK,MIA,905,1200,175,1089,0,0,,\n")
     row = store.read_csv(spark, path, store.RAW_SCHEMA, ["FlightDate", "CRSDepTime", "ArrDel15"]).first()
     assert tuple(row) == (dt.date(2024, 1, 1), 905, None)
+
+
+def test_scoring_works_after_graph_measures(spark):
+    """A measure that counts while it iterates must not leave anything in the session that models carry along."""
+    from riskloom.operators import graph as G
+
+    day = dt.date(2024, 1, 1)
+    edges = spark.createDataFrame([(day, "A", "B", 1.0, 1.0), (day, "B", "C", 1.0, 1.0), (day, "C", "A", 2.0, 0.5)],
+                                  "network_month date, src string, dst string, weight double, length double")
+    G.pagerank(edges).collect(), G.betweenness(edges).collect()
+    rows = spark.createDataFrame([(float(k % 2), float(k)) for k in range(40)], "label double, x double")
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = LogisticRegression(featuresCol="features", labelCol="label").fit(vectors)
+    assert materialize(model.transform(vectors).select("prediction"), "scores").count() == 40
+
+
+def test_smoothing_window_shrinks_to_the_curve(spark):
+    random = np.random.default_rng(0)
+    for n in (4, 5, 6, 12, 31, 40):
+        ys = random.random(n).tolist()
+        got = [r["smoothed"] for r in X.smooth(curve(spark, ys)).orderBy("x").collect()]
+        width = min(31, n if n % 2 else n - 1)
+        if width < 5:
+            assert got == ys
+            continue
+        want = []
+        for i in range(n):
+            low = min(max(i - width // 2, 0), n - width)
+            fit = np.polyfit(np.arange(width), ys[low : low + width], 2)
+            want.append(np.polyval(fit, i - low))
+        assert np.allclose(got, want)
+
+
+def test_unfinished_store_is_written_again(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(2020, 1, 5), (2020, 2, 6)], "year int, month int, v int")
+    df.limit(1).write.partitionBy("year", "month").parquet(root)
+    (tmp_path / "store" / "_SUCCESS").unlink()
+    store.write_store(df, root)
+    assert store.read_store(spark, root).count() == 2
+    store.write_store(df.limit(0), root)
+    assert store.read_store(spark, root).count() == 2
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = str(tmp_path / "wide.csv")
+    with open(path, "w") as f:
+        f.write("Extra,ArrDel15,CRSDepTime,FlightDate,More\nx,,905,2024-01-01,1\ny,1.0,abc,2024-01-02,2\n")
+    got = store.read_csv(spark, path, store.RAW_SCHEMA, ["FlightDate", "CRSDepTime", "ArrDel15"]).collect()
+    assert [tuple(r) for r in got] == [(dt.date(2024, 1, 1), 905, None), (dt.date(2024, 1, 2), None, 1.0)]
+    with pytest.raises(store.MissingInputError):
+        store.read_csv(spark, path, store.RAW_SCHEMA, ["Origin"])

@@ -97,3 +97,9 @@ def test_permute_over_all_rows(spark):
     df = keyed(spark, 300)
     out = S.permute(df, "v", "k", 3)
     assert rows(out.groupBy("v").count()) == rows(df.groupBy("v").count()) and out.count() == 300
+
+
+def test_a_null_sampling_key_is_an_error(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
+    with pytest.raises(ValueError, match="null"):
+        S.exact_sample(df, 2, "k", 1)

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.temporal import next_month_start
 from riskloom.functions.values import positive_or_null
-from riskloom.operators import graph as G, joins
-from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
-from riskloom.plans.feature_queries import eligible_flights
+from riskloom.operators import graph as G, history, joins, sampling
+from riskloom.plans import binding as B, flights as P
+from riskloom.plans.binding import HUBS_SQL, RAW_SQL, labelled_flights, sql_with
+from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
 from riskloom.plans.registry import query
+from riskloom.session import materialize
 
 EDGES_SQL = """edges AS (
   SELECT CAST(date_trunc('month', "FlightDate") AS DATE) AS network_month, "Origin" AS src, "Dest" AS dst,
@@ -151,6 +153,57 @@ def sampled_betweenness(spark, sf_dir):
     return out.withColumn("network_betweenness", F.round("network_betweenness", 9))
 
 
+LAGGED_SQL = f"""lagged AS (
+  SELECT CAST(s.network_month + INTERVAL 1 MONTH AS DATE) AS flight_month, s.node AS airport, round(r.r, 9) AS network_pagerank,
+    c.network_betweenness, s.network_weighted_out_share, s.network_weighted_in_share
+  FROM shares s JOIN r{SETTLE_ROUNDS} r ON r.network_month = s.network_month AND r.node = s.node
+  JOIN central c ON c.network_month = s.network_month AND c.node = s.node
+)"""
+_LAGGED_PARTS = (EDGES_SQL, NODES_SQL, SETTLED_SQL, SHARES_SQL, _betweenness_sql(1_000_000_000), LAGGED_SQL)
+
+
+def lagged(spark, sf_dir):
+    """All measures of a month, dated to the next one; stored, because each role looks them up."""
+    measures = G.lagged_measures(month_edges(spark, sf_dir))
+    rounded = {c: F.round(c, 9) for c in ("network_pagerank", "network_betweenness")}
+    return materialize(measures.withColumns(rounded), "measures")
+
+
+@query("lagged_network_measures", "GR5 JN5", sql_with(RAW_SQL, *_LAGGED_PARTS, body="SELECT * FROM lagged"))
+def lagged_network_measures(spark, sf_dir):
+    return lagged(spark, sf_dir)
+
+
+_MEASURES = ["network_pagerank", "network_betweenness", "network_weighted_out_share", "network_weighted_in_share"]
+_ENRICHED = ["row_key", "flight_date", "origin_airport", "destination_airport", "scheduled_duration_minutes", "origin_recent_delay_rate",
+             "destination_recent_delay_rate", "route_recent_delay_rate", *[f"{p}_{m}" for p in ("origin", "destination") for m in _MEASURES],
+             "origin_faa_hub_category", "destination_faa_hub_category", "arrival_delay_15min"]
+
+
+@query(
+    "enriched_sample", "JN3 JN4 JN5 JN6 GR5 TK6 PRJ1",
+    sql_with(RAW_SQL, TRAILING_SQL, HUBS_SQL, *_LAGGED_PARTS, """chosen AS (
+      SELECT * FROM flights WHERE primary_eligible = 1 ORDER BY md5(row_key || '-42') LIMIT 3000
+    ), enriched AS (SELECT f.row_key, f."FlightDate" AS flight_date, f."Origin" AS origin_airport, f."Dest" AS destination_airport,
+      CASE WHEN f."CRSElapsedTime" > 0 THEN CAST(f."CRSElapsedTime" AS DOUBLE) END AS scheduled_duration_minutes, t.origin_recent_delay_rate,
+      t.destination_recent_delay_rate, t.route_recent_delay_rate, """ + ", ".join(f"{a}.{m} AS {p}_{m}" for p, a in (("origin", "lo"), ("destination", "ld")) for m in _MEASURES) + """,
+      ho.faa_hub_category AS origin_faa_hub_category, hd.faa_hub_category AS destination_faa_hub_category, f."ArrDel15" AS arrival_delay_15min
+      FROM chosen f LEFT JOIN rates t ON t."FlightDate" = f."FlightDate" AND t."Origin" = f."Origin" AND t."Dest" = f."Dest"
+      LEFT JOIN lagged lo ON lo.flight_month = date_trunc('month', f."FlightDate") AND lo.airport = f."Origin"
+      LEFT JOIN lagged ld ON ld.flight_month = date_trunc('month', f."FlightDate") AND ld.airport = f."Dest"
+      LEFT JOIN hubs ho ON ho.airport = f."Origin" LEFT JOIN hubs hd ON hd.airport = f."Dest")""",
+             body="SELECT * FROM enriched"),
+)
+def enriched_sample(spark, sf_dir):
+    flights = materialize(
+        eligible_flights(spark, sf_dir, "row_key", "FlightDate", "year", "Origin", "Dest", "CRSElapsedTime", "ArrDel15"), "flights"
+    )
+    sample = sampling.exact_sample(flights, 3000, "row_key", 42)
+    hubs = materialize(P.hub_dimension(B.hub_classes(spark, sf_dir)).select("airport", "faa_hub_category"), "hubs")
+    rates = materialize(history.trailing_features(flights), "rates")
+    return P.enrich(sample, rates, lagged(spark, sf_dir), hubs).select(*_ENRICHED)
+
+
 ROUTES_SQL = """routes AS (SELECT "Origin" AS src, "Dest" AS dst, CAST(count(*) AS DOUBLE) AS weight FROM flights WHERE primary_eligible = 1 AND "year" <= 1999 GROUP BY ALL)"""
 
 

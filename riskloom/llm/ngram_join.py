@@ -5,24 +5,26 @@ similarity is 0.85 or more. The join is exact and returns each document's compon
 works on distinct sets, so exact copies cost nothing, in four steps:
 
 1. **Counting.** A linked set has at most 15 % of its runs to itself. Runs with a hash in
-   the lower third of all hashes are dealt out by hash, packed in arrays, and each set
+   the lower half of all hashes are dealt out by hash, packed in arrays, and each set
    learns how many of its own occur elsewhere. Sets with too many lonely runs link with
    nothing and drop out, which leaves the small part of a corpus that repeats itself.
 2. **Signatures.** Sets of similar size that link differ in at most d runs, so if hashes
    are split into d + 1 + z parts, more than z parts agree entirely. Each part's content
    hashed is a signature; linked sets share one. Sets with at most z empty parts need no
    signature for those.
-3. **Signature trees.** The sets that share a signature form a group. In each group a tree
-   is built whose nodes hold the OR and the AND of their members' token bitmaps and their
-   range of sizes. Two nodes are compared downwards only while the largest possible
-   overlap can still reach the threshold; surviving pairs are compared exactly. Pairs that
-   are connected already are skipped, so a cluster of n copies costs about n comparisons.
-   A first pass uses three parts only and connects nearly everything; the second pass sees
-   all signatures, but only groups that still hold different components.
+3. **Signature trees.** Sets that share signatures, directly or through others, form a
+   candidate group, and a set is sent to one group only. In each group a tree is built
+   whose nodes hold the OR and the AND of their members' token bitmaps and their range of
+   sizes. Two nodes are compared downwards only while the largest possible overlap can
+   still reach the threshold; surviving pairs are compared exactly. Pairs that are connected
+   already are skipped, so a cluster of n copies costs about n comparisons.
 4. **Components** of the links, and of the documents behind each set.
 
-Large groups are split: into blocks that all hold the group's first set in the first pass,
-into pairs of blocks with different components in the second. No group is ever cut short.
+A candidate group too large for one task is taken apart again. A first pass compares its
+sets within single signatures of three parts, in blocks that all hold the signature's first
+set, and connects nearly everything. Then a group of a few blocks is compared by pairs of
+blocks; a larger one by the signatures that still join different components, large ones as
+pairs of blocks with different components. No group is ever cut short.
 
 Defined results: texts without words (or null) have an empty set and link with nothing,
 each is its own component; a text of one to three words is one run; repeated rows link
@@ -47,9 +49,13 @@ WORDS = 4
 #: Similarity in hundredths: 100 * intersection >= NEAR * union.
 NEAR = 85
 #: Hashes below this take part in the counting step.
-LOW = np.uint64((1 << 64) // 3)
-#: Counted runs per task of the counting step, and sets per block of a group.
-RUNS_PER_PART, BLOCK = 2_000_000, 1_024
+LOW = np.uint64((1 << 64) // 2)
+#: Parts of the counting step at least, and counted runs of a part at most.
+LEAST_PARTS, RUNS_PER_PART = 32, 4_000_000
+#: Sets compared in one task, and blocks of so many that a group is compared by pairs of.
+BLOCK, BLOCKS = 512, 32
+#: Bits of the map that keeps most texts without an open set out of a shuffle.
+MAP_BITS = 1 << 23
 BITS, FANOUT = 1_024, 8
 
 
@@ -111,7 +117,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lonely_runs(texts: DataFrame, total_low: int) -> DataFrame:
     """(short id of a set, number of its counted runs that other sets have too)."""
-    parts = max(1, -(-total_low // RUNS_PER_PART))
+    parts = max(LEAST_PARTS, -(-total_low // RUNS_PER_PART))
     width = int(LOW) // parts + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +252,8 @@ def linked(one: np.ndarray, two: np.ndarray) -> bool:
     return 100 * both >= NEAR * (len(one) + len(two) - both)
 
 
-def tree_links(sets: list[np.ndarray], components: list) -> list[tuple[int, int]]:
-    """Linked pairs that join different components; enough to connect all that link."""
+def tree_links(sets: list[np.ndarray], components: list, sides: list) -> list[tuple[int, int]]:
+    """Linked pairs of different sides that join different components; enough to connect all that link."""
     parent: dict = {}
 
     def root(c):
@@ -257,6 +263,8 @@ def tree_links(sets: list[np.ndarray], components: list) -> list[tuple[int, int]
 
     out = []
     for a, b in SignatureTree(sets).candidates():
+        if sides[a] == sides[b]:
+            continue
         x, y = root(components[a]), root(components[b])
         if x != y and linked(sets[a], sets[b]):
             parent[x] = y
@@ -264,18 +272,20 @@ def tree_links(sets: list[np.ndarray], components: list) -> list[tuple[int, int]
     return out
 
 
-def _solve(members: DataFrame, sets: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Links (a, b) found in the groups of ``members`` (grp, sid)."""
-    rows = members.join(sets.select("sid", "runs"), "sid")
+def _solve(members: DataFrame, sets: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) found in the groups of ``members`` (grp, id, and side if only pairs across sides count)."""
+    if "side" not in members.columns:
+        members = members.withColumn("side", F.col("id"))
+    rows = members.join(sets.select("id", "runs"), "id")
     if components is None:
-        rows = rows.withColumn("component", F.col("sid"))
+        rows = rows.withColumn("component", F.col("id"))
     else:
-        rows = rows.join(components, rows["sid"] == components["node"], "left").withColumn("component", F.coalesce("component", "sid"))
-    rows = rows.select("grp", "sid", "runs", "component").repartition("grp").sortWithinPartitions("grp")
+        rows = rows.join(components, rows["id"] == components["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    rows = rows.select("grp", "id", "runs", "component", "side").repartition("grp").sortWithinPartitions("grp")
 
-    def solve(frame: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        ids = [bytes(s) for s in frame["sid"]]
-        pairs = tree_links([np.frombuffer(r, np.uint64) for r in frame["runs"]], [bytes(c) for c in frame["component"]])
+    def solve(frame: pd.DataFrame) -> list[tuple[int, int]]:
+        ids = frame["id"].tolist()
+        pairs = tree_links([np.frombuffer(r, np.uint64) for r in frame["runs"]], frame["component"].tolist(), frame["side"].tolist())
         return [(ids[a], ids[b]) for a, b in pairs]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,63 +301,94 @@ def _solve(members: DataFrame, sets: DataFrame, components: DataFrame | None) ->
                     found += solve(pd.concat(held))
                     held = []
                 held.append(frame.iloc[low:high])
-            yield pd.DataFrame(found, columns=["a", "b"])
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
         if held:
-            yield pd.DataFrame(solve(pd.concat(held)), columns=["a", "b"])
-
-    return rows.mapInPandas(run, "a binary, b binary")
-
+            yield pd.DataFrame(solve(pd.concat(held)), columns=["a", "b"], dtype=np.int64)
 
-def _distinct_groups(groups: DataFrame) -> DataFrame:
-    """One signature for each distinct membership (n, check)."""
-    return groups.groupBy("n", "check").agg(F.min("sig").alias("sig"))
+    return rows.mapInPandas(run, "a long, b long")
 
 
-def _membership() -> list:
-    check = F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("check")
-    return [F.count("*").alias("n"), check, F.min("sid").alias("first")]
+def _memberships(rows: DataFrame, *more) -> DataFrame:
+    """Signatures with their number of members, one for each distinct membership."""
+    groups = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.bit_xor(F.xxhash64("id")).alias("check"), *more)
+    if more:
+        groups = groups.where("low <> high")
+    groups = groups.where("n > 1")
+    once = groups.groupBy("n", "first", "check").agg(F.min("sig").alias("sig"))
+    return once.select("sig", "n", "first")
 
 
-def _first_pass(marked: DataFrame) -> DataFrame:
-    """Members (grp, sid) of the groups of three parts; large ones in blocks that share their first set."""
-    early = marked.where("early").select("sig", "sid")
-    groups = early.groupBy("sig").agg(*_membership()).where("n > 1")
-    groups = groups.join(_distinct_groups(groups).select("sig"), "sig").select("sig", "n", "first")
+def _first_pass(shared: DataFrame) -> DataFrame:
+    """Members (grp, id) of the signatures of three parts; large ones in blocks that share their first set."""
+    early = shared.where("early").select("sig", "id")
+    groups = _memberships(early)
     rows = early.join(groups, "sig").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    block = F.pmod(F.xxhash64("sid"), "blocks")
-    own = rows.select(F.xxhash64("sig", block).alias("grp"), "sid")
+    block = F.pmod(F.xxhash64("id"), "blocks")
+    own = rows.select(F.xxhash64("sig", block).alias("grp"), "id")
     firsts = groups.where(F.col("n") > BLOCK).select(
-        "sig", F.col("first").alias("sid"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1)).alias("block")
+        "sig", F.col("first").alias("id"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK) - 1)).alias("block")
     )
-    return own.union(firsts.select(F.xxhash64("sig", F.col("block").cast("long")).alias("grp"), "sid")).distinct()
+    return own.union(firsts.select(F.xxhash64("sig", F.col("block").cast("long")).alias("grp"), "id")).distinct()
 
 
-def _second_pass(marked: DataFrame, components: DataFrame) -> DataFrame:
-    """Members (grp, sid) of all groups that still hold different components."""
-    rows = marked.join(components, marked["sid"] == components["node"], "left")
-    rows = rows.select("sig", "sid", F.coalesce("component", "sid").alias("component"))
-    groups = rows.groupBy("sig").agg(*_membership(), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = groups.where("low <> high")
-    groups = groups.join(_distinct_groups(groups).select("sig"), "sig").select("sig", "n")
+def _second_pass(shared: DataFrame, components: DataFrame) -> DataFrame:
+    """Members (grp, id) of all signatures that still hold different components."""
+    rows = shared.join(components, shared["id"] == components["node"], "left")
+    rows = materialize(rows.select("sig", "id", F.coalesce("component", "id").alias("component")), "labelled")
+    groups = _memberships(rows, F.min("component").alias("low"), F.max("component").alias("high"))
     rows = materialize(rows.join(groups, "sig"), "open-groups")
-    small = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("sig", F.lit(0).cast("long")).alias("grp"), "sid")
+    small = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("sig", F.lit(0).cast("long")).alias("grp"), "id")
     large = rows.where(F.col("n") > BLOCK)
     # Blocks: of one component if it is large, of several small components otherwise.
     inside = large.groupBy("sig", "component").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    block = F.when(F.col("m") >= BLOCK, F.xxhash64("component", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / BLOCK)))).otherwise(
+    block = F.when(F.col("m") >= BLOCK, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)))).otherwise(
         F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / BLOCK))
     )
     blocked = large.drop("n").join(inside, ["sig", "component"]).select(
-        "sig", "sid", block.alias("block"), F.when(F.col("m") >= BLOCK, F.col("component")).alias("only")
+        "sig", "id", block.alias("block"), F.when(F.col("m") >= BLOCK, F.col("component")).alias("only")
     )
     each = blocked.groupBy("sig", "block").agg(F.first("only").alias("only"))
     pairs = each.alias("x").join(each.alias("y"), F.expr("x.sig = y.sig and x.block <= y.block and not (x.only <=> y.only and x.only is not null)"))
     pairs = pairs.select(F.col("x.sig").alias("sig"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
     sides = pairs.select("sig", F.col("p").alias("block"), "p", "q").union(pairs.select("sig", F.col("q").alias("block"), "p", "q"))
-    crossed = blocked.join(sides, ["sig", "block"]).select(F.xxhash64("sig", "p", "q").alias("grp"), "sid").distinct()
+    crossed = blocked.join(sides, ["sig", "block"]).select(F.xxhash64("sig", "p", "q").alias("grp"), "id").distinct()
     return small.union(crossed)
 
 
+def _links(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """All links needed to connect the sets (id, runs) that link, from their signatures (sig, id, early)."""
+    groups = marked.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    shared = materialize(marked.join(groups.drop("n"), "sig"), "shared-signatures")
+    near = connected_components(shared.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    sizes = near.groupBy("component").agg(F.count("*").alias("size"))
+    near = materialize(near.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("grp"), "size"), "candidates")
+    links = materialize(_solve(near.where(F.col("size") <= BLOCK).select("grp", "id"), found), "links")
+    large = near.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return links
+    shared = materialize(shared.drop("first").join(large.select("id"), "id", "left_semi"), "large-candidates")
+    first = materialize(_solve(_first_pass(shared), found), "first-links")
+    components = connected_components(first)
+    few = large.where(F.col("size") <= BLOCK * BLOCKS)
+    second = materialize(_solve(_block_pairs(few), found, components), "second-links")
+    links = links.union(first).union(second)
+    many = large.where(F.col("size") > BLOCK * BLOCKS)
+    if many.isEmpty():
+        return links
+    shared = shared.join(many.select("id"), "id", "left_semi")
+    return links.union(materialize(_solve(_second_pass(shared, components), found, components), "third-links"))
+
+
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """Members (grp, id, side) of all pairs of blocks of each candidate group (id, grp, size)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    rows = large.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.select(
+        F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "id",
+        F.when(F.col("own") == F.col("other"), F.col("id")).otherwise(F.col("own")).alias("side"),
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text_key, n_shingles, component_id, and whether it stands for its component.
 
@@ -371,35 +412,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     short = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
     open_sets = sets.where(spare >= 1).withColumn("short", short).join(counted, "short", "left")
     open_sets = open_sets.where(F.col("n_low") - F.coalesce("shared", F.lit(0)) <= spare).select("sid", "place")
+    open_sets = materialize(open_sets, "still-open")
 
-    found = _with_runs(texts, open_sets)
-    found = materialize(found, "open-sets")
+    found = materialize(_with_runs(texts, open_sets), "open-sets")  # ids are fixed by this
     classes = size_classes(largest)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, runs = batch.column("sid"), batch.column("runs").to_pylist()
-            marks = [signatures(np.frombuffer(r, np.uint64), classes) for r in runs]
-            if not marks:
-                continue
-            n = np.array([len(s) for s, _ in marks])
-            for low in range(0, len(marks), 256):  # a set has about a third as many signatures as runs
-                part = marks[low : low + 256]
+            ids, runs = batch.column("id"), batch.column("runs")
+            for low in range(0, batch.num_rows, 256):  # a set has about a third as many signatures as runs
+                some = [signatures(np.frombuffer(r.as_buffer(), np.uint64), classes) for r in runs.slice(low, 256)]
+                owner = np.repeat(np.arange(low, low + len(some)), [len(s) for s, _ in some])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([s for s, _ in part]).view(np.int64)),
-                    sids.take(pa.array(np.repeat(np.arange(low, low + len(part)), n[low : low + 256]))),
-                    pa.array(np.concatenate([e for _, e in part])),
-                ], names=["sig", "sid", "early"])
-
-    marked = materialize(found.select("sid", "runs").mapInArrow(mark, "sig long, sid binary, early boolean"), "signatures")
-    links = materialize(_solve(_first_pass(marked), found, None), "first-links")
-    components = materialize(connected_components(links), "first-components")
-    more = materialize(_solve(_second_pass(marked, components), found, components), "second-links")
-    if not more.isEmpty():
-        components = materialize(connected_components(links.union(more)), "components")
+                    pa.array(np.concatenate([s for s, _ in some]).view(np.int64)), ids.take(pa.array(owner)),
+                    pa.array(np.concatenate([e for _, e in some])),
+                ], names=["sig", "id", "early"])
+
+    marked = materialize(found.select("id", "runs").mapInArrow(mark, "sig long, id long, early boolean"), "signatures")
+    components = connected_components(_links(found, marked))
+    # From set numbers back to set ids; a component is named by one of its sets.
+    components = components.join(found.select(F.col("id").alias("node"), "sid"), "node")
+    components = components.select(F.col("sid").alias("node"), F.col("component"))
 
     named = sets.join(components, sets["sid"] == components["node"], "left")
-    named = named.select("sid", "smallest", "place", F.coalesce("component", "sid").alias("component"))
+    named = named.select("sid", "smallest", "place", F.coalesce(F.col("component").cast("string").cast("binary"), "sid").alias("component"))
     heads = named.groupBy("component").agg(F.min("smallest").alias("component_id"), F.min("place").alias("place"))
     named = named.drop("place").join(heads, "component").select("sid", "component_id", "place")
     out = rows.join(named, "sid", "left")
@@ -412,20 +448,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _with_runs(texts: DataFrame, open_sets: DataFrame) -> DataFrame:
-    """The runs of the sets that are still open, packed, each set once."""
+    """(id, sid, runs) of the sets that are still open, runs packed."""
+    wanted = open_sets.select(F.col("place.doc_id").alias("id"), F.col("place.text_key").alias("key"))
+    # A bitmap of fixed size lets most other texts go before the shuffle; the join decides.
+    bit = F.pmod("key", F.lit(MAP_BITS))
+    words = wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(key, {MAP_BITS}) % 64))")).alias("bits"))
+    bitmap = np.zeros(MAP_BITS // 64, np.uint64)
+    for row in words.collect():
+        bitmap[row["word"]] = np.uint64(row["bits"] & (2**64 - 1))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.mod(batch.column("text_key").to_numpy(zero_copy_only=False), MAP_BITS).astype(np.uint64)
+            there = bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(there > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for part in T.slices(batch.column("text")):
                 runs, bounds = shingle_sets(part)
+                ids = _binary(set_ids(runs, bounds)).to_pylist()
+                new = [k for k, i in enumerate(ids) if i != (ids[k - 1] if k else last)]  # repeated rows are neighbours
+                last = ids[-1]
                 raw, b = runs.tobytes(), bounds.tolist()
                 yield pa.RecordBatch.from_arrays([
-                    _binary(set_ids(runs, bounds)), pa.array([raw[8 * x : 8 * y] for x, y in zip(b, b[1:])], pa.binary()),
+                    pa.array([ids[k] for k in new], pa.binary()), pa.array([raw[8 * b[k] : 8 * b[k + 1]] for k in new], pa.binary()),
                 ], names=["sid", "runs"])
 
-    wanted = open_sets.select(F.col("place.doc_id").alias("id"), F.col("place.text_key").alias("key"))
-    kept = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["text_key"] == wanted["key"]), "left_semi")
-    return kept.select("text").mapInArrow(run, "sid binary, runs binary").groupBy("sid").agg(F.min("runs").alias("runs"))
+    some = texts.mapInArrow(likely, texts.schema)
+    same = some["doc_id"].eqNullSafe(wanted["id"]) & (some["text_key"] == wanted["key"])
+    kept = some.join(wanted.hint("merge"), same, "left_semi")
+    return kept.select("text").mapInArrow(run, "sid binary, runs binary").withColumn("id", F.monotonically_increasing_id())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -67,9 +67,10 @@ def test_full_table(spark, sf_dir):
     assert found == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_copies_of_all_sizes(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,blocks", [(1024, 32), (3, 32), (3, 1)])
+def test_near_copies_of_all_sizes(spark, monkeypatch, block, blocks):
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCKS", blocks)
     rows = near_copies(5, 400, 3000, [3, 5, 8, 9, 12, 20, 40, 80, 150])
     passage = " ".join(f"p{k}" for k in range(60))
     rows += [(1000 + k, f"{passage} {' '.join(f'u{k}x{j}' for j in range(k % 12))}") for k in range(40)]
@@ -117,7 +118,8 @@ def test_tree_loses_no_pair():
     found = {tuple(sorted(p)) for p in J.SignatureTree(sets).candidates()}
     wanted = {(a, b) for a, b in combinations(range(len(sets)), 2) if J.linked(sets[a], sets[b])}
     assert wanted <= found and len(found) < len(sets) * (len(sets) - 1) / 4
-    assert J.tree_links(sets, ["same"] * len(sets)) == []
+    assert J.tree_links(sets, ["same"] * len(sets), list(range(len(sets)))) == []
+    assert J.tree_links(sets, list(range(len(sets))), ["one side"] * len(sets)) == []
 
 
 def test_shingles_do_not_depend_on_slices(monkeypatch):

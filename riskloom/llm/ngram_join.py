@@ -484,13 +484,24 @@ def _with_runs(texts: DataFrame, open_sets: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns."""
-    found = near_duplicates(docs).where("stands")
-    keep = found.where("n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    blank = found.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    places = near_duplicates(docs).where("stands").groupBy("doc_id", "text_key").agg(
+        F.max("n_shingles").alias("n"), F.count("*").alias("copies")
+    )
+    places = materialize(places.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n", "copies"), "places")
     keyed = docs.withColumn("__key_of_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = lambda side: docs["doc_id"].cast("long").eqNullSafe(side["__id"]) & (keyed["__key_of_text"] == side["__key"])
-    once = keyed.join(keep, same(keep), "left_semi").dropDuplicates(["doc_id", "__key_of_text"])
-    return once.unionByName(keyed.join(blank, same(blank), "left_semi")).drop("__key_of_text")
+
+    def at(side: DataFrame, how: str) -> DataFrame:
+        same = keyed["doc_id"].cast("long").eqNullSafe(side["__id"]) & (keyed["__key_of_text"] == side["__key"])
+        return keyed.join(side, same, how)
+
+    # Texts are shuffled once; only rows that repeat with their id are dealt out again.
+    repeated = places.where("n > 0 AND copies > 1")
+    if repeated.isEmpty():
+        kept = at(places, "left_semi")
+    else:
+        single = at(places.where("n = 0 OR copies = 1"), "left_semi")
+        kept = single.unionByName(at(repeated, "left_semi").dropDuplicates(["doc_id", "__key_of_text"]))
+    return kept.drop("__key_of_text")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,8 @@ def temporal_split(
         "validate": df.where(F.col(year) == validate),
         "test": df.where(F.col(year) == test),
     }
+
+
+def split_part(fit_until: int, validate: int, test: int, year: str = "year") -> Column:
+    """The part a row belongs to, for work on all parts in one scan; NULL outside them."""
+    return F.when(F.col(year) <= fit_until, "fit").when(F.col(year) == validate, "validate").when(F.col(year) == test, "test")

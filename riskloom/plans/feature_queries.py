@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.catalog import AIRLINES, DURATION_EDGES, DURATION_LABELS, HAZARD_GROUPS, RENAME
 from riskloom.functions import temporal as T, values as V
 from riskloom.operators import history, intervals, joins
-from riskloom.operators.cohort import eligible
+from riskloom.operators.cohort import eligible, split_part
 from riskloom.operators.profile import daily_anomalies, daily_series
 from riskloom.plans import binding as B, flights as P
 from riskloom.plans.binding import AIRPORTS_SQL, HAZARDS_SQL, HOLIDAYS_SQL, HUBS_SQL, RAW_SQL, labelled_flights, sql_with
@@ -27,14 +27,17 @@ def eligible_flights(spark, sf_dir, *columns) -> DataFrame:
 _DAILY = """{name} AS (
   SELECT "FlightDate", {keys}, sum("ArrDel15") AS delayed, count(*) AS n FROM flights WHERE primary_eligible = 1 GROUP BY ALL
 )"""
+# Every day meets the earlier days of its key within the range; the operator uses a window instead.
 _ROLL = """{name}_roll AS (
-  SELECT "FlightDate", {keys}, sum(delayed) OVER w / nullif(sum(n) OVER w, 0) AS {rate} FROM {name}
-  WINDOW w AS (PARTITION BY {keys} ORDER BY "FlightDate" RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND INTERVAL 2 DAYS PRECEDING)
+  SELECT t."FlightDate", {ours}, sum(p.delayed) / nullif(sum(p.n), 0) AS {rate} FROM {name} t LEFT JOIN {name} p
+  ON {same} AND date_diff('day', p."FlightDate", t."FlightDate") BETWEEN 2 AND {days} GROUP BY ALL
 )"""
 
 
 def _rolled(name: str, keys: str, rate: str, days: int) -> str:
-    return _DAILY.format(name=name, keys=keys) + "," + _ROLL.format(name=name, keys=keys, rate=rate, days=days)
+    columns = keys.split(", ")
+    ours, same = ", ".join(f"t.{k}" for k in columns), " AND ".join(f"t.{k} = p.{k}" for k in columns)
+    return _DAILY.format(name=name, keys=keys) + "," + _ROLL.format(name=name, ours=ours, rate=rate, days=days, same=same)
 
 
 _ORIGIN_ROLL = _rolled("by_origin", '"Origin"', "origin_recent_delay_rate", 8)
@@ -126,11 +129,7 @@ def eligible_years(spark, sf_dir):
       count(*) AS n, avg("ArrDel15") AS delay_rate FROM flights WHERE primary_eligible = 1 AND "year" <= 2001 GROUP BY 1"""),
 )
 def temporal_split_sizes(spark, sf_dir):
-    from riskloom.operators.cohort import temporal_split
-
-    parts = temporal_split(eligible_flights(spark, sf_dir, "year", "ArrDel15"), 1999, 2000, 2001)
-    tagged = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
-    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    rows = eligible_flights(spark, sf_dir, "year", "ArrDel15").withColumn("part", split_part(1999, 2000, 2001)).where("part IS NOT NULL")
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("ArrDel15").alias("delay_rate"))
 
 
@@ -357,15 +356,13 @@ MATCHED_SQL = """matched AS (
   SELECT a.airport, h.* FROM airports a JOIN hazards h
     ON a.longitude > h.cx - h.hx AND a.longitude < h.cx + h.hx AND a.latitude > h.cy - h.hy AND a.latitude < h.cy + h.hy
 )"""
-EXPANDED_SQL = """bounds AS (
-  SELECT *, CASE WHEN date_trunc('hour', issued) = issued THEN issued ELSE date_trunc('hour', issued) + INTERVAL 1 HOUR END + INTERVAL 24 HOURS AS first_hour,
-         date_trunc('hour', expired) AS forecast_end, date_trunc('hour', expired) + INTERVAL 24 HOURS AS active_end FROM matched
+# An hour calendar meets each interval by its bounds; the operator makes the hours of each interval instead.
+EXPANDED_SQL = """calendar AS MATERIALIZED (SELECT unnest(generate_series(
+    (SELECT date_trunc('hour', min(issued)) FROM matched), (SELECT max(expired) + INTERVAL 25 HOURS FROM matched), INTERVAL 1 HOUR)) AS utc_hour
 ), expanded AS (
-  SELECT airport, hazard_id, hazard_group, severity, unnest(generate_series(first_hour, forecast_end, INTERVAL 1 HOUR)) AS utc_hour,
-         1 AS hazard_forecast, 0 AS hazard_active_at_prediction FROM bounds WHERE first_hour <= forecast_end
-  UNION ALL
-  SELECT airport, hazard_id, hazard_group, severity, unnest(generate_series(first_hour, active_end, INTERVAL 1 HOUR)),
-         0, 1 FROM bounds WHERE first_hour <= active_end
+  SELECT airport, hazard_id, hazard_group, severity, utc_hour, 1 - late AS hazard_forecast, late AS hazard_active_at_prediction
+  FROM matched JOIN (VALUES (0), (1)) AS kinds (late) ON true
+  JOIN calendar ON utc_hour - INTERVAL 24 HOURS >= issued AND utc_hour - to_hours(24 * late) <= expired
 )"""
 _group_flags = ", ".join(
     f"max(CASE WHEN hazard_group = '{g}' THEN hazard_forecast ELSE 0 END) AS hazard_{g}" for g in GROUPS

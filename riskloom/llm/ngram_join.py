@@ -410,7 +410,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counted = _lonely_runs(texts, total_low)
     spare = F.col("n") - F.ceil(F.lit(NEAR) * F.col("n") / 100)
     short = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
-    open_sets = sets.where(spare >= 1).withColumn("short", short).join(counted, "short", "left")
+    # A set of six may lack nothing, but a set of seven that holds it links; smaller ones link with equal sets only.
+    can_link = 100 * F.col("n") >= NEAR * (F.col("n") + 1)
+    open_sets = sets.where(can_link).withColumn("short", short).join(counted, "short", "left")
     open_sets = open_sets.where(F.col("n_low") - F.coalesce("shared", F.lit(0)) <= spare).select("sid", "place")
     open_sets = materialize(open_sets, "still-open")
 

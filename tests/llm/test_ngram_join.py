@@ -79,6 +79,21 @@ def test_near_copies_of_all_sizes(spark, monkeypatch, block, blocks):
     assert found == brute(rows)
 
 
+def test_short_texts_and_one_word_more(spark):
+    rows = []
+    for n in range(6, 16):
+        words = [f"n{n}w{k}" for k in range(n)]
+        rows += [" ".join(words), " ".join([*words, "behind"])]
+        words = [f"m{n}w{k}" for k in range(n)]
+        rows += [" ".join(words), " ".join(["before", *words]), " ".join(["in", *words, "between"])]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((tuple(r) for r in J.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert found == brute(rows)
+    nine = [i for i, t in rows if t.startswith("n9w0")]
+    assert {c for i, _, c in found if i in nine} == {min(nine)}
+
+
 ODD = [None, "", " \n", "a", "A", "a b c", "a  B c", "a b c d", "é É", "a\xa0b", "w " * 20_000, "w " * 20_001, "x y z w v u t s r q p o n m l k"]
 
 

@@ -93,7 +93,7 @@ TEMPLATES = [
     ("{} licen[cs]e", 2, 0.7),
 ]
 #: Every rule's matches hold one of these.
-TRIGGERS = [" licen", " spdx ", " under ", " terms ", " cc ", " cc0 ", " public domain ", " rights reserved "]
+TRIGGERS = [" licen", " spdx ", " under ", " terms ", " cc ", " cc0 ", " creative commons ", " public domain ", " rights reserved "]
 PRIORITIES = range(1, 6)
 
 

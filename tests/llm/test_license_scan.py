@@ -1,5 +1,6 @@
 """License scan against a plain loop over rules, matches and pairs."""
 
+import random
 import re
 
 import pytest
@@ -77,6 +78,48 @@ def test_matches_hold_keyword_and_trigger(keyword, own):
                 assert any(t in text for t in L.TRIGGERS)
 
 
+def written(tree, pick):
+    """A text that a parsed rule matches; optional parts by ``pick``."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            out += "x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op == "BRANCH":
+            out += written(pick(arg[1]), pick)
+        elif op == "SUBPATTERN":
+            out += written(arg[3], pick)
+        elif op == "MAX_REPEAT":
+            low, high, part = arg
+            out += "".join(written(part, pick) for _ in range(pick([low, min(high, low + 2)])))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+@pytest.mark.parametrize("keyword,own", L.rules())
+def test_generated_matches_pass_both_gates(keyword, own):
+    choose = random.Random(1).choice
+    for label, rx, _, _ in own:
+        tree = re._parser.parse(rx)
+        for pick in [lambda options: options[0], lambda options: options[-1], *[choose] * 30]:
+            text = f" {written(tree, pick)} "
+            assert re.search(rx, text), (rx, text)
+            assert f" {keyword} " in text and any(t in text for t in L.TRIGGERS), (rx, text)
+
+
+def test_names_without_other_trigger_words(spark):
+    names = ["Creative Commons Attribution 4.0 International", "Creative Commons Attribution-NonCommercial 4.0", "creative commons attribution share alike", "CC0 1.0 Universal"]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    found = rows(L.summarise(*(lambda r, d: (r, L.unsuppressed(d)))(*L.scan(docs))))
+    assert found == sorted(((i, *plain(t)) for i, t in enumerate(names)), key=repr)
+    assert [r[6] for r in found] == ["cc-by", "cc-by-nc", "cc-by-sa", "cc0-1.0"]
+
+
 def test_plan_is_native(spark, sf_dir):
     plan = L.op6_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -165,6 +165,34 @@ def prepared(spark, sf_dir):
     return spread(parts["fit"]), parts["validate"], parts["test"]
 
 
+def pooled(fit, *parts, suffix=""):
+    """The parts with levels rare in the fit rows pooled, in columns named by ``suffix``."""
+    for c in CATEGORIES:
+        text = lambda df, c=c: df.withColumn(f"{c}{suffix}", F.col(c).cast("string"))
+        counts = materialize(ML.level_counts(text(fit), f"{c}{suffix}"), "levels")
+        parts = [ML.pool_rare(text(df), f"{c}{suffix}", counts) for df in parts]
+    return [materialize(df, "pooled") for df in parts]
+
+
+#: Boosting rounds of the final trees and of each candidate in the grid.
+FINAL_ROUNDS, GRID_ROUNDS = 650, 450
+TREES = {"maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "minInstancesPerNode": 10}
+LOGISTIC_GRID = [{"regParam": 3e-6}, {"regParam": 1e-5}, {"regParam": 3e-5}, {"regParam": 1e-5, "elasticNetParam": 0.05}]
+TREE_GRID = [
+    {"maxDepth": 4}, {"maxDepth": 6}, {"maxDepth": 8, "minInstancesPerNode": 20, "stepSize": 0.04},
+    {"maxDepth": 6, "minInstancesPerNode": 25, "stepSize": 0.04, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"},
+]
+#: Numbers of pair terms of the additive candidates.
+PAIR_GRID = [0, 5, 8]
+
+
+def trees(spark, rounds, suffix="", **params):
+    """Boosted trees on all features; their lineage is cut through the scratch folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+    return ML.boosted_trees([f"{c}{suffix}" for c in CATEGORIES], [*NUMBERS, *FLAGS], **{"maxIter": rounds} | TREES | params)
+
+
 def _metrics_of(scored, models):
     return M.evaluate(M.model_scores(scored, "label", models))
 
@@ -187,17 +215,25 @@ def logistic_coefficients(spark, sf_dir):
 @query("boosted_trees", "ML8")
 def boosted_trees(spark, sf_dir):
     fit, _, test = prepared(spark, sf_dir)
-    model = ML.boosted_trees(CATEGORIES[:1], [*NUMBERS, *FLAGS], maxIter=5).fit(fit)
+    fit, test = pooled(fit, fit, test)
+    model = trees(spark, FINAL_ROUNDS).fit(spread(fit))
     return _metrics_of(ML.add_probability(test, model, "boosted_trees"), ["boosted_trees"])
 
 
 @query("tree_importance", "ML16")
 def tree_importance(spark, sf_dir):
     fit, _, _ = prepared(spark, sf_dir)
-    return ML.tree_importance(ML.boosted_trees(CATEGORIES[:1], [*NUMBERS, *FLAGS], maxIter=3).fit(fit), fit)
+    fit, = pooled(fit, fit)
+    return ML.tree_importance(trees(spark, FINAL_ROUNDS).fit(spread(fit)), fit)
 
 
-PAIRS = [("scheduled_departure_hour", "disc"), ("departure_weekday", "scheduled_departure_hour")]
+#: Pair terms in the order in which they are added.
+INTERACTIONS = [
+    ("scheduled_departure_hour", "disc"), ("departure_weekday", "scheduled_departure_hour"), ("airline", "scheduled_departure_hour"),
+    ("scheduled_departure_hour", RATES[0]), (RATES[0], RATES[1]), ("origin_hourly_scheduled_flights", "scheduled_departure_hour"),
+    (DURATION, "scheduled_departure_hour"), ("destination_daily_scheduled_flights", "departure_weekday"),
+]
+PAIRS = INTERACTIONS[:2]
 
 
 @query("additive_model", "ML9")
@@ -237,17 +273,22 @@ def severity_models(spark, sf_dir):
     return X.severity_profile(example, columns, ["origin_airport", "destination_airport", "scheduled_departure_hour"])
 
 
+def grid_candidates(spark):
+    """Name and fit of every candidate; regression and trees read the columns with rare levels pooled."""
+    named = lambda family, params: f"{family} " + " ".join(f"{k}={v}" for k, v in params.items())
+    levels, numbers = [f"{c}_pooled" for c in CATEGORIES], [*NUMBERS, *FLAGS]
+    return {
+        **{named("logistic", p): (lambda df, p=p: ML.logistic(levels, numbers, maxIter=80, **p).fit(df)) for p in LOGISTIC_GRID},
+        **{named("trees", p): (lambda df, p=p: trees(spark, GRID_ROUNDS, "_pooled", **p).fit(df)) for p in TREE_GRID},
+        **{f"additive pairs={n}": (lambda df, n=n: ML.fit_additive(df, CATEGORIES, NUMBERS, INTERACTIONS[:n], max_bins=256, pair_bins=32)) for n in PAIR_GRID},
+    }
+
+
 @query("grid_search", "ML11 TK5 EV9")
 def grid_search(spark, sf_dir):
     fit, valid, _ = prepared(spark, sf_dir)
-    numbers = [*NUMBERS, *FLAGS]
-    candidates = {
-        **{f"logistic reg={reg} mix={mix}": (lambda df, reg=reg, mix=mix: ML.logistic(CATEGORIES, numbers, regParam=reg, elasticNetParam=mix).fit(df))
-           for reg, mix in ((1e-5, 0.0), (1e-3, 0.0), (1e-3, 0.05))},
-        **{f"trees depth={d}": (lambda df, d=d: ML.boosted_trees(CATEGORIES[:1], numbers, maxIter=3, maxDepth=d).fit(df)) for d in (3, 4)},
-        **{f"additive bins={b}": (lambda df, b=b: ML.fit_additive(df, CATEGORIES, NUMBERS, max_bins=b)) for b in (8, 32)},
-    }
-    _, metrics = ML.grid_search(fit, valid, candidates)
+    fit, valid = pooled(fit, fit, valid, suffix="_pooled")
+    _, metrics = ML.grid_search(spread(fit), valid, grid_candidates(spark))
     return ML.best_by_group(metrics, F.split("model", " ")[0])
 
 
@@ -275,7 +316,9 @@ def block_ablation(spark, sf_dir):
 def seed_ensemble(spark, sf_dir):
     """Log-loss gain of the three-seed mean over each single seed."""
     fit, _, test = prepared(spark, sf_dir)
-    models = [ML.boosted_trees(CATEGORIES[:1], NUMBERS, maxIter=3, maxDepth=3, subsamplingRate=0.6, seed=s).fit(fit) for s in (42, 43, 44)]
+    fit, test = pooled(fit, fit, test)
+    fit = spread(fit)
+    models = [trees(spark, FINAL_ROUNDS, seed=s).fit(fit) for s in (42, 43, 44)]
     scored = materialize(ML.seed_ensemble(ML.add_probability(test, models[0], "single"), models, "mean"), "ensemble")
     return M.paired_gain(scored, "label", "mean", "single")
 

@@ -259,16 +259,45 @@ def additive_curves(spark, sf_dir):
     return X.monotone_fit(curve)
 
 
-@query("severity_models", "ML10 SCL17 EX8")
-def severity_models(spark, sf_dir):
-    """Severity probabilities of the flight nearest to a risk of 0.5, raw and coherent."""
+def _reaches(minutes):
+    return F.coalesce(F.col("ArrDelay") >= minutes, F.lit(False)).cast("int")
+
+
+def severity_scores(spark, sf_dir, thresholds):
+    """Test rows with the probability of reaching each threshold, one model each, and the names of these columns."""
     fit, _, test = split_table(spark, sf_dir)
     scored, columns = test, {}
-    for minutes in (15, *SEVERITY_MINUTES):
-        labelled = fit.withColumn("label", (F.col("ArrDelay") >= minutes).cast("int"))
+    for minutes in thresholds:
         columns[minutes] = f"p_delay_ge_{minutes}"
-        scored = ML.fit_additive(labelled, ["airline"], ["scheduled_departure_hour", "disc", RATES[0]], max_bins=16).score(scored, columns[minutes])
-    stored = materialize(scored, "severity")
+        model = ML.fit_additive(fit.withColumn("label", _reaches(minutes)), CATEGORIES, NUMBERS, INTERACTIONS, max_bins=256, pair_bins=32)
+        scored = model.score(scored, columns[minutes])
+    return materialize(scored, "severity"), columns
+
+
+@query("severity_models", "ML10 SCL17")
+def severity_models(spark, sf_dir):
+    """Raw and coherent severity probabilities of every test row."""
+    scored, columns = severity_scores(spark, sf_dir, SEVERITY_MINUTES)
+    coherent = X.running_minimum(list(columns.values()))
+    return scored.select("row_key", F.col("ArrDelay").alias("actual_delay_minutes"), *columns.values(), *[
+        low.alias(f"{c}_coherent") for c, low in zip(columns.values(), coherent)
+    ])
+
+
+@query("severity_metrics", "ML10")
+def severity_metrics(spark, sf_dir):
+    """Metrics of each threshold's model over all test rows."""
+    scored, columns = severity_scores(spark, sf_dir, SEVERITY_MINUTES)
+    lines = F.array(*[
+        F.struct(F.lit(t).alias("delay_threshold_minutes"), _reaches(t).alias("label"), F.col(c).alias("score")) for t, c in columns.items()
+    ])
+    return M.evaluate(scored.select(F.inline(lines)), ["delay_threshold_minutes"])
+
+
+@query("severity_example", "ML10 SCL17 EX8")
+def severity_example(spark, sf_dir):
+    """Severity probabilities of the flight nearest to a risk of 0.5, raw and coherent."""
+    stored, columns = severity_scores(spark, sf_dir, (15, *SEVERITY_MINUTES))
     example = X.nearest_row(stored, F.col("label") == 1, F.col("p_delay_ge_15"), 0.5, "row_key")
     return X.severity_profile(example, columns, ["origin_airport", "destination_airport", "scheduled_departure_hour"])
 

@@ -44,3 +44,21 @@ def test_grid_has_all_candidates(spark, sf_dir, few_rounds):
     for levels, numbers, stage in few_rounds:
         assert levels == [f"{c}_pooled" for c in Q.CATEGORIES] and numbers == [*Q.NUMBERS, *Q.FLAGS]
         assert stage.getMaxIter() == 450
+
+
+def test_severity_of_every_test_row(spark, sf_dir):
+    _, _, test = Q.split_table(spark, sf_dir)
+    found = Q.severity_models(spark, sf_dir).collect()
+    assert sorted(r["row_key"] for r in found) == sorted(r["row_key"] for r in test.select("row_key").collect())
+    for r in found:
+        raw = [r[f"p_delay_ge_{t}"] for t in (30, 60, 120)]
+        assert all(0 < p < 1 for p in raw)
+        assert [r[f"p_delay_ge_{t}_coherent"] for t in (30, 60, 120)] == [min(raw[: k + 1]) for k in range(3)]
+    metrics = {r["delay_threshold_minutes"]: r for r in Q.severity_metrics(spark, sf_dir).collect()}
+    assert sorted(metrics) == [30, 60, 120]
+    for t, r in metrics.items():
+        late = [x["actual_delay_minutes"] is not None and x["actual_delay_minutes"] >= t for x in found]
+        assert abs(r["base_rate"] - sum(late) / len(late)) < 1e-12
+        brier = sum((x[f"p_delay_ge_{t}"] - y) ** 2 for x, y in zip(found, late)) / len(found)
+        assert abs(r["brier_score"] - brier) < 1e-6
+    assert [r["delay_threshold_minutes"] for r in Q.severity_example(spark, sf_dir).collect()] == [15, 30, 60, 120]

@@ -233,20 +233,19 @@ INTERACTIONS = [
     ("scheduled_departure_hour", RATES[0]), (RATES[0], RATES[1]), ("origin_hourly_scheduled_flights", "scheduled_departure_hour"),
     (DURATION, "scheduled_departure_hour"), ("destination_daily_scheduled_flights", "departure_weekday"),
 ]
-PAIRS = INTERACTIONS[:2]
 
 
 @query("additive_model", "ML9")
 def additive_model(spark, sf_dir):
     fit, _, test = split_table(spark, sf_dir)
-    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, PAIRS)
+    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS)
     return _metrics_of(model.score(test, "additive"), ["additive"])
 
 
 @query("additive_importance", "ML16 EX1 SCL15")
 def additive_importance(spark, sf_dir):
     fit, _, test = split_table(spark, sf_dir)
-    table = ML.fit_additive(fit, CATEGORIES, NUMBERS, PAIRS).importance(test)
+    table = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS).importance(test)
     return table.withColumn("display_term", V.display_name(F.col("term"), DISPLAY))
 
 
@@ -254,7 +253,7 @@ def additive_importance(spark, sf_dir):
 def additive_curves(spark, sf_dir):
     """Response curve of the departure hour with its monotone fit."""
     fit, _, _ = split_table(spark, sf_dir)
-    model = ML.fit_additive(fit, ["airline"], NUMBERS)
+    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS)
     curve = model.curve(spark, "scheduled_departure_hour").withColumnsRenamed({"term": "feature", "score": "effect"})
     return X.monotone_fit(curve)
 
@@ -269,7 +268,7 @@ def severity_scores(spark, sf_dir, thresholds):
     scored, columns = test, {}
     for minutes in thresholds:
         columns[minutes] = f"p_delay_ge_{minutes}"
-        model = ML.fit_additive(fit.withColumn("label", _reaches(minutes)), CATEGORIES, NUMBERS, INTERACTIONS, max_bins=256, pair_bins=32)
+        model = ML.fit_additive(fit.withColumn("label", _reaches(minutes)), CATEGORIES, NUMBERS, INTERACTIONS)
         scored = model.score(scored, columns[minutes])
     return materialize(scored, "severity"), columns
 
@@ -309,7 +308,7 @@ def grid_candidates(spark):
     return {
         **{named("logistic", p): (lambda df, p=p: ML.logistic(levels, numbers, maxIter=80, **p).fit(df)) for p in LOGISTIC_GRID},
         **{named("trees", p): (lambda df, p=p: trees(spark, GRID_ROUNDS, "_pooled", **p).fit(df)) for p in TREE_GRID},
-        **{f"additive pairs={n}": (lambda df, n=n: ML.fit_additive(df, CATEGORIES, NUMBERS, INTERACTIONS[:n], max_bins=256, pair_bins=32)) for n in PAIR_GRID},
+        **{f"additive pairs={n}": (lambda df, n=n: ML.fit_additive(df, CATEGORIES, NUMBERS, INTERACTIONS[:n])) for n in PAIR_GRID},
     }
 
 
@@ -336,7 +335,7 @@ def block_ablation(spark, sf_dir):
 
     def train(df, columns):
         cats = [c for c in columns if c in CATEGORIES]
-        return ML.logistic(cats, [c for c in columns if c not in CATEGORIES], maxIter=20).fit(df)
+        return ML.logistic(cats, [c for c in columns if c not in CATEGORIES]).fit(df)
 
     return ML.block_ablation(fit, valid, _BLOCKS, train, ["identity", "timing"], SCREEN_THRESHOLD_AP)
 

@@ -1,5 +1,7 @@
 """The model queries hand whole jobs to the estimators."""
 
+import inspect
+
 import pytest
 
 from riskloom.operators import models as ML
@@ -62,3 +64,18 @@ def test_severity_of_every_test_row(spark, sf_dir):
         brier = sum((x[f"p_delay_ge_{t}"] - y) ** 2 for x, y in zip(found, late)) / len(found)
         assert abs(r["brier_score"] - brier) < 1e-6
     assert [r["delay_threshold_minutes"] for r in Q.severity_example(spark, sf_dir).collect()] == [15, 30, 60, 120]
+
+
+def test_additive_queries_use_all_terms_and_bins(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ML, "fit_additive", lambda *args, **params: asked.append((args[1:], params)) or 1 / 0)
+    monkeypatch.setattr(Q, "split_table", lambda *_: (None, None, None))
+    for query in (Q.additive_model, Q.additive_importance, Q.additive_curves):
+        with pytest.raises(ZeroDivisionError):
+            query(spark, sf_dir)
+    assert asked == [((Q.CATEGORIES, Q.NUMBERS, Q.INTERACTIONS), {})] * 3 and len(Q.INTERACTIONS) == 8
+
+
+def test_additive_bins_by_default():
+    defaults = {n: p.default for n, p in inspect.signature(ML.fit_additive).parameters.items()}
+    assert (defaults["max_bins"], defaults["pair_bins"]) == (256, 32)

@@ -44,10 +44,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HOT = re.compile(r"[0-9@]|[\[(]at[\])]")
+# An at sign in brackets, or the word with a dotted or spelt-out domain behind it, of any case.
+_DOT = r"(?:\.|\s{0,3}[\[(]?\s{0,3}(?<![A-Za-z0-9])[Dd][Oo][Tt](?![A-Za-z0-9])\s{0,3}[\])]?\s{0,3})"
+_SPELT_DOMAIN = rf"[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}"
+_SPELT = rf"[\[(]\s{{0,3}}[Aa][Tt]\s{{0,3}}[\])](?:\s{{0,3}}{_SPELT_DOMAIN})?|(?<![A-Za-z0-9])[Aa][Tt]\s{{1,3}}{_SPELT_DOMAIN}"
+_HOT, _SPELT = re.compile(f"[0-9@]|{_SPELT}"), re.compile(_SPELT)
 _WORD = re.compile(r"\S+")
 _ATOM = re.compile(r"[A-Za-z0-9]+|\s+|.", re.S)
 _NO_DIGIT = re.compile("[^0-9]+")
+_NUMBER = re.compile("[._+-]?[0-9]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -118,7 +123,12 @@ def stretches(text: str, taken: list[Span] | None) -> Iterator[tuple[int, int]]:
         while high - low < STRETCH and (word := _WORD.search(text, high)) is not None:
             high = word.end()
             if not _HOT.search(text, word.start(), high):
-                break
+                # A spelt-out address goes over several words; this one may be its beginning.
+                spelt = _SPELT.search(text, word.start(), high + 1_000)
+                if spelt is None or text[high : spelt.start()].strip():
+                    break
+                word = _WORD.match(text, spelt.end())
+                high = word.end() if word else spelt.end()
         done = at = high
         yield low, high
 
@@ -174,8 +184,8 @@ class Lattice:
         mark = {c: np.array([a == c for a in atoms], np.int64) for c in "@.+()-[]"}
         mark[" "] = np.array([a.isspace() for a in atoms], np.int64)
         letters = np.where(word, self.sizes - digits, 0)
-        spelt = np.array([a in ("at", "AT") for a in atoms], np.int64)
-        dot = np.array([a in ("dot", "DOT") for a in atoms], np.int64)
+        spelt = np.array([a.lower() == "at" for a in atoms], np.int64)
+        dot = np.array([a.lower() == "dot" for a in atoms], np.int64)
         octet = np.array([a.isdigit() and len(a) <= 3 and int(a) <= 255 for a in atoms], np.int64)
         other = 1 - (word | sum(mark.values()).astype(bool)).astype(np.int64) if n else digits
         self.window = np.repeat(np.arange(len(texts)), np.diff(self.bounds)).astype(np.int64)
@@ -206,6 +216,8 @@ class Lattice:
         columns = [np.ones(len(start), bool), glue_left, glue_right, tail, mark["+"][start] > 0, mark["("][start] > 0]
         columns += [n_at == 1, total(dot) > 0, n_letters == 0, n_letters > 4, n_octets == n_words, (n_octets == 4) & (n_words == 4)]
         columns += [(n_at == 1) & tail & ((counts["."] > 0) | (total(dot) > 0)), (n_letters == 0) & (counts["."] == 3) & (n_words == 4)]
+        address = (n_at == 1) & tail & ((counts["."] > 0) | (total(dot) > 0))
+        columns += [address & (n_digits == 0), address & (counts["@"] == 0) & (counts["["] + counts["("] == 0), address & (counts[" "] > 1)]
         for value, cuts in ((n_digits, [1, 4, 7, 8, 10, 11, 12, 14, 16, 17, 20]), (runs, [1, 2, 3, 4, 5, 6]), (counts["."], [1, 2, 3, 4]),
                             (counts["-"], [1, 2, 4]), (counts[" "], [1, 2, 3, 4, 6]), (counts["("] + 2 * counts[")"], [1, 3, 4]),
                             (counts["["] + counts["]"], [1, 3]), (n_words, [1, 2, 3, 4, 5, 6, 8])):
@@ -318,7 +330,13 @@ def rewrite(text: str, spans: list[Span], seed: int) -> tuple[str, list[Span]]:
             continue
         raw = text[a:b]
         if kind == 0:
-            raw = raw.replace("@", pick.choice([" [at] ", " (at) ", "[at]", "(at)"]))
+            if pick.random() < 0.5:  # many addresses have no digit
+                raw = _NUMBER.sub("", raw) if _NUMBER.sub("", raw.partition("@")[0]) else raw
+            local, _, domain = raw.partition("@")
+            sign = pick.choice([" [at] ", " (at) ", "[at]", "(AT)", " [ at ] ", " ( AT ) ", " at ", " AT ", " at "])
+            if pick.random() < 0.4:
+                domain = domain.replace(".", pick.choice([" dot ", " DOT ", " [dot] "]))
+            raw = local + sign + domain
         elif kind == 1:
             raw = raw.replace(".", pick.choice(["[.]", "(.)"]))
         elif kind == 2:

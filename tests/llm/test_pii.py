@@ -123,6 +123,31 @@ def test_field_learns_other_forms(spark, sf_dir):
     assert not any(plain(r.text or "") for r in clean.collect())
 
 
+SPELT = [
+    "jane.doe [at] example.com", "jane.doe [AT] example.com", "jane.doe [ at ] example.com", "jane.doe(At)example.com", "jane.doe at example.com",
+    "jane.doe at example dot com", "jane.doe AT example DOT com",
+]
+
+
+@pytest.mark.parametrize("spelt", SPELT)
+def test_spelt_addresses_are_examined(spelt):
+    for before, after in (("please write to ", " soon or later"), ("room 12 ", " now"), ("", "")):
+        text = before + spelt + after
+        assert any(a <= len(before) and len(before) + len(spelt) <= b for a, b in P.stretches(text, None)), text
+        low, high = P.Lattice([text]).spans()
+        assert (len(before), len(before) + len(spelt)) in set(zip(low.tolist(), high.tolist()))
+    assert list(P.stretches("we met at noon at the old house at last", None)) == []
+
+
+def test_field_finds_spelt_addresses(spark, sf_dir):
+    field = P.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # "[ at ]" and "dot" are looked at, but a field fitted on this small table does not mark them.
+    for s in SPELT:
+        if " dot " not in s.lower() and "[ at ]" not in s:
+            assert P.find_spans([f"please write to {s} soon or later"], field)[1] == [[(0, 16, 16 + len(s))]], s
+    assert P.find_spans(["we met at noon at the old house at last"], field)[1] == [[]]
+
+
 def test_odd_tables(spark):
     rows = [(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(None, None, None, None), (1, TEXTS[1], 2, "y"), (5, None, 3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string")

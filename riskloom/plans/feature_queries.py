@@ -357,12 +357,12 @@ MATCHED_SQL = """matched AS (
     ON a.longitude > h.cx - h.hx AND a.longitude < h.cx + h.hx AND a.latitude > h.cy - h.hy AND a.latitude < h.cy + h.hy
 )"""
 # An hour calendar meets each interval by its bounds; the operator makes the hours of each interval instead.
-EXPANDED_SQL = """calendar AS MATERIALIZED (SELECT unnest(generate_series(
+EXPANDED_SQL = """hazard_hours AS MATERIALIZED (SELECT unnest(generate_series(
     (SELECT date_trunc('hour', min(issued)) FROM matched), (SELECT max(expired) + INTERVAL 25 HOURS FROM matched), INTERVAL 1 HOUR)) AS utc_hour
 ), expanded AS (
   SELECT airport, hazard_id, hazard_group, severity, utc_hour, 1 - late AS hazard_forecast, late AS hazard_active_at_prediction
   FROM matched JOIN (VALUES (0), (1)) AS kinds (late) ON true
-  JOIN calendar ON utc_hour - INTERVAL 24 HOURS >= issued AND utc_hour - to_hours(24 * late) <= expired
+  JOIN hazard_hours ON utc_hour - INTERVAL 24 HOURS >= issued AND utc_hour - to_hours(24 * late) <= expired
 )"""
 _group_flags = ", ".join(
     f"max(CASE WHEN hazard_group = '{g}' THEN hazard_forecast ELSE 0 END) AS hazard_{g}" for g in GROUPS

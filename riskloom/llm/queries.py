@@ -16,6 +16,7 @@ from riskloom.llm.pii import op9_pii
 from riskloom.llm.quality_classifier import op8_quality_classifier
 from riskloom.llm.quality_rules import op4_quality_rules
 from riskloom.llm.toxicity import op3_toxicity
+from riskloom.llm.turn_repair import op13_turn_repair
 from riskloom.llm.url_filter import OP12_SQL, op12_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_url_filter": op12_url_filter,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES: dict[str, str] = {"op1_knn_join": OP1_SQL, "op12_url_filter": OP12_SQL}

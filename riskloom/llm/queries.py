@@ -18,6 +18,7 @@ from riskloom.llm.quality_rules import op4_quality_rules
 from riskloom.llm.toxicity import op3_toxicity
 from riskloom.llm.turn_repair import op13_turn_repair
 from riskloom.llm.url_filter import OP12_SQL, op12_url_filter
+from riskloom.llm.whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn_join": op1_knn_join,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
     "op12_url_filter": op12_url_filter,
     "op13_turn_repair": op13_turn_repair,
 }

@@ -21,6 +21,7 @@ packed separately; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskloom.llm import text as T
 from riskloom.llm.tokens import UnitEncoder
+from riskloom.operators.ordering import running_totals
 from riskloom.session import materialize
 
 LENGTH = 2048
@@ -62,28 +64,58 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The strings of added tokens are found before a text is normalised and become their
+        # ids. They are cut out here; in what lies between, such a string is ordinary text.
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.added = {t.content.encode("utf-8"): id_ for id_, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(map(re.escape, longest_first))) if self.added else None
+        self.tokenizer.encode_special_tokens = True
         self.units = UnitEncoder(self._encode_units)
 
     def _encode_units(self, units: list[bytes]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast([u.decode("utf-8") for u in units], add_special_tokens=False)
         return [e.ids for e in found]
 
+    def _added_tokens(self, part: T.Slice) -> list[tuple[int, int, int]]:
+        """Start, end and id of the added tokens' strings in a slice's texts."""
+        if self.pattern is None:
+            return []
+        raw = part.data.tobytes()
+        if not self.pattern.search(raw):
+            return []
+        bounds = part.offsets.tolist()
+        return [
+            (m.start(), m.end(), self.added[m.group()])
+            for low, high in zip(bounds, bounds[1:]) for m in self.pattern.finditer(raw, low, high)
+        ]
+
     def encode(self, part: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice's texts in one array, and n + 1 bounds by text.
 
         Words are also cut between an ASCII letter and ASCII punctuation other than the
         apostrophe: the tokenizer always separates those two.
         """
-        words = T.split_words(part, _BLANK)
-        data = part.data
+        added, data = self._added_tokens(part), part.data
+        if added:
+            data = data.copy()
+            for low, high, _ in added:
+                data[low:high] = 32
+        words = T.split_words(T.Slice(part.first, part.last, data, part.offsets), _BLANK)
         before, after = data[:-1], data[1:]
         inner = np.flatnonzero((_LETTER[before] & _PUNCTUATION[after]) | (_PUNCTUATION[before] & _LETTER[after])) + 1
         inner = inner[~np.isin(inner, part.offsets)]
         starts = np.sort(np.concatenate([words.starts, inner]))
         ends = np.sort(np.concatenate([words.ends, inner]))
         ids, bounds = self.units(T.LOWER[data], starts, ends)
-        return ids, bounds[np.searchsorted(starts, part.offsets)]
+        by_text = bounds[np.searchsorted(starts, part.offsets)]
+        if added:
+            places = np.array([low for low, _, _ in added])
+            ids = np.insert(ids, bounds[np.searchsorted(starts, places)], [id_ for _, _, id_ in added])
+            by_text = by_text + np.searchsorted(places, part.offsets)
+        return ids, by_text
 
 
 @lru_cache(maxsize=2)
@@ -269,8 +301,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, step: i
     spread = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv)) if groups else F.create_map(F.lit(0), F.lit(1))
     items = items.withColumn("part", F.pmod(F.xxhash64("members"), spread[F.col("bin")].cast("long")))
     sizes = items.groupBy("bin", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = running_totals(sizes, [F.col("part")], ["n"], ["bin"]).select("bin", "part", (F.col("cum_n") - F.col("n")).alias("before"))
     within = Window.partitionBy("bin", "part").orderBy("members")
     ranked = (
         items.withColumn("rank", F.row_number().over(within) - 1).join(sizes, ["bin", "part"])

@@ -15,9 +15,7 @@ from riskloom.llm import packing as K, text as T
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(P.path(K.VOCABULARY_FILE))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(K.VOCABULARY_FILE))
 
 
 def check(rows, texts, tokenizer, length=2048):
@@ -57,13 +55,14 @@ def test_full_table(spark, sf_dir, tokenizer):
     assert check(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer) < 0.005
 
 
-ODD = [None, "", " ", "a", "x " * 5000, "<|endoftext|> <|startoftext|>", "don't, -'s 'LL a'b.c", "Ünï̇ K̸ ≮ İ", "a\x0bb\x0cc\x85d\xa0e", "１２ ½"]
+ODD = [None, "", " ", "a", "x " * 5000, "<|endoftext|> <|startoftext|>", "a<|endoftext|>b<|EndOfText|>", "<|endoftext|><|endoftext|>", "x<|startoftext|>\u0301é",
+       "<|end", "oftext|>", "<|endoftext|> [UNK] <unk>", "<|endoftext", "don't, -'s 'LL a'b.c", "Ünï̇ K̸ ≮ İ", "a\x0bb\x0cc\x85d\xa0e", "１２ ½"]
 
 
-@pytest.mark.parametrize("n", [0, 1, 10])
+@pytest.mark.parametrize("n", [0, 1, len(ODD)])
 def test_odd_tables(spark, tokenizer, n):
     texts = list(enumerate(ODD))[:n]
-    if n == 10:
+    if n > 1:
         texts += [(None, "b c"), (None, "b"), (3, "a"), (3, "a"), (4, "x " * 5000)] + [(100 + k, "same words here") for k in range(700)]
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in texts], "doc_id long, text string, sequence_id string, length int")
     assert check(K.pack(docs).collect(), texts, tokenizer) < 0.03  # a handful of sequences
@@ -79,6 +78,12 @@ def test_units_equal_the_tokenizer(tokenizer, texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "B", " ", "endoftext", "\u0301", "é", "'s", "<|EndOfText|>"]), max_size=12), max_size=4))
+def test_added_tokens_equal_the_tokenizer(tokenizer, texts):
+    test_units_equal_the_tokenizer.hypothesis.inner_test(tokenizer, ["".join(t) for t in texts])
+
+
 TOKENS: dict = {}
 
 

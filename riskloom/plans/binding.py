@@ -98,7 +98,7 @@ def raw_flights(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     )
     flown = (F.col("Cancelled") == 0) & (F.col("Diverted") == 0)
     derived = {
-        "row_key": F.concat_ws("-", ok, ln, pk, sk),
+        "row_key": F.concat_ws("-", ok, ln, pk, sk, "FlightDate"),
         "year": F.year("FlightDate"),
         "CRSDepTime": (100 * F.col("hour") + pk % 60).cast("int"),
         "CRSElapsedTime": F.when(pk % 97 == 0, F.lit(0.0)).when(pk % 89 != 0, 30 + 6 * qty).cast("double"),
@@ -211,7 +211,7 @@ items AS (
            + 150 * (CASE WHEN (5 * ok + 11 * pk) % 50 = 0 THEN 1 ELSE 0 END) AS raw_delay
   FROM items
 ), flights AS (
-  SELECT ok || '-' || ln || '-' || pk || '-' || sk AS row_key, "FlightDate", CAST(year("FlightDate") AS INTEGER) AS "year",
+  SELECT ok || '-' || ln || '-' || pk || '-' || sk || '-' || CAST("FlightDate" AS VARCHAR) AS row_key, "FlightDate", CAST(year("FlightDate") AS INTEGER) AS "year",
          CAST(month("FlightDate") AS INTEGER) AS "month", CAST(isodow("FlightDate") - 1 AS INTEGER) AS day_of_week,
          "Reporting_Airline", "Origin", "Dest", CAST(100 * hh + pk % 60 AS INTEGER) AS "CRSDepTime", hh AS departure_hour,
          CASE WHEN pk % 97 = 0 THEN 0.0 WHEN pk % 89 = 0 THEN NULL ELSE 30 + 6 * qty END AS "CRSElapsedTime",

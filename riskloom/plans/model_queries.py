@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from riskloom.catalog import (
     DEFAULT_SOURCE, DISPLAY, DURATION_EDGES, DURATION_LABELS, EXCLUDED_FEATURES, FEATURE_GROUPS, GROUP_SOURCE,
-    SCREEN_THRESHOLD_AP, SEVERITY_MINUTES, SHAPE_ADVICE, DEFAULT_SHAPE_ADVICE,
+    PERMUTATION_VERDICT_AP, REQUIRED_GROUPS, SCREEN_THRESHOLD_AP, SEVERITY_MINUTES, SHAPE_ADVICE, DEFAULT_SHAPE_ADVICE,
 )
 from riskloom.functions import values as V
-from riskloom.operators import explain as X, history, joins, metrics as M, models as ML, profile as R, sampling
-from riskloom.operators.cohort import eligible, temporal_split
-from riskloom.plans import flights as P
+from riskloom.operators import (
+    additive as AD, binning, boosting, explain as X, history, joins, metrics as M, models as ML, profile as R, sampling,
+)
+from riskloom.operators.cohort import eligible
+from riskloom.plans import flights as P, model_table as T
 from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
 from riskloom.plans.profile_queries import metrics_sql
 from riskloom.plans.registry import query
-from riskloom.session import materialize, scratch_dir, spread
+from riskloom.session import materialize, scratch_dir
 from riskloom.sources import store
 
 RATES = ["origin_recent_delay_rate", "destination_recent_delay_rate", "route_recent_delay_rate"]
@@ -51,12 +55,6 @@ MODEL_SQL = """model_rows AS (
 _MODEL_PARTS = (RAW_SQL, TRAILING_SQL, MODEL_SQL)
 
 
-def split_table(spark, sf_dir):
-    stored = materialize(model_table(spark, sf_dir), "model")
-    parts = temporal_split(stored, 1999, 2000, 2001)
-    return spread(parts["fit"]), parts["validate"], parts["test"]
-
-
 # --- feature preparation ----------------------------------------------------------------
 
 
@@ -152,125 +150,155 @@ def aligned_predictions(spark, sf_dir):
 
 # --- estimators ------------------------------------------------------------------------------
 
-CATEGORIES = ["airline", "origin_airport", "destination_airport", "departure_weekday"]
-NUMBERS = ["scheduled_departure_hour", DURATION, "disc", "origin_hourly_scheduled_flights", "destination_daily_scheduled_flights", *RATES]
+CATEGORIES, NUMBERS, FEATURES = T.CATEGORIES, T.NUMBERS, T.FEATURES
 FLAGS = [*[f"{r}_history_unavailable" for r in RATES], "scheduled_duration_history_unavailable"]
+_LATE = {t: f"late_{t}" for t in (15, *SEVERITY_MINUTES)}
 
 
-def prepared(spark, sf_dir):
-    """Fit, validation and test rows with complete numbers and missing flags."""
-    rows = materialize(model_table(spark, sf_dir), "model")
-    fitted = ML.fit_backoff(rows.where("year <= 1999"), RATES, DURATION, ["origin_airport", "destination_airport"])
-    parts = temporal_split(materialize(ML.apply_backoff(rows, fitted), "prepared"), 1999, 2000, 2001)
-    return spread(parts["fit"]), parts["validate"], parts["test"]
+def coded(spark, sf_dir, until=1999):
+    """Bins fitted on years up to ``until``, and all enriched rows as codes, stored once."""
+    table = T.enriched(spark, sf_dir)
+    bins = binning.fit_bins(table.where(F.col("year") <= until), CATEGORIES, NUMBERS)
+    rows = table.withColumns({c: F.coalesce(F.col("ArrDelay") >= t, F.lit(False)).cast("int") for t, c in _LATE.items()})
+    kept = ["row_key", "year", "label", "ArrDelay", *_LATE.values(), "origin_airport", "destination_airport", "scheduled_departure_hour"]
+    return bins, materialize(bins.encode(rows, kept), "coded")
 
 
-def pooled(fit, *parts, suffix=""):
-    """The parts with levels rare in the fit rows pooled, in columns named by ``suffix``."""
-    for c in CATEGORIES:
-        text = lambda df, c=c: df.withColumn(f"{c}{suffix}", F.col(c).cast("string"))
-        counts = materialize(ML.level_counts(text(fit), f"{c}{suffix}"), "levels")
-        parts = [ML.pool_rare(text(df), f"{c}{suffix}", counts) for df in parts]
-    return [materialize(df, "pooled") for df in parts]
+def _metrics_of(scored, models):
+    return M.evaluate(M.model_scores(scored, "label", models))
 
 
-#: Boosting rounds of the final trees and of each candidate in the grid.
-FINAL_ROUNDS, GRID_ROUNDS = 650, 450
-TREES = {"maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "minInstancesPerNode": 10}
+# Rounds of the final trees, of the grid's and of the screening's.
+FINAL_ROUNDS, GRID_ROUNDS, SCREEN_ROUNDS = 650, 450, 300
+# Candidates of the three grids.
 LOGISTIC_GRID = [{"regParam": 3e-6}, {"regParam": 1e-5}, {"regParam": 3e-5}, {"regParam": 1e-5, "elasticNetParam": 0.05}]
 TREE_GRID = [
-    {"maxDepth": 4}, {"maxDepth": 6}, {"maxDepth": 8, "minInstancesPerNode": 20, "stepSize": 0.04},
-    {"maxDepth": 6, "minInstancesPerNode": 25, "stepSize": 0.04, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"},
+    {"depth": 4, "child_weight": 10.0, "rate": 0.05, "ridge": 2.0}, {"depth": 6, "child_weight": 10.0, "rate": 0.05, "ridge": 2.0},
+    {"depth": 8, "child_weight": 20.0, "rate": 0.04, "ridge": 3.0},
+    {"depth": 6, "child_weight": 25.0, "rate": 0.04, "ridge": 5.0, "rows": 0.9, "columns": 0.9},
+]
+ADDITIVE_GRID = [
+    (0, {"rate": 0.05, "rounds": 900, "leaf_rows": 30}), (5, {"rate": 0.04, "rounds": 1100, "leaf_rows": 30}),
+    (8, {"rate": 0.03, "rounds": 1300, "leaf_rows": 50}),
 ]
-#: Numbers of pair terms of the additive candidates.
-PAIR_GRID = [0, 5, 8]
+PAIRS = 8
 
 
-def trees(spark, rounds, suffix="", **params):
-    """Boosted trees on all features; their lineage is cut through the scratch folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return ML.boosted_trees([f"{c}{suffix}" for c in CATEGORIES], [*NUMBERS, *FLAGS], **{"maxIter": rounds} | TREES | params)
+def prepared(spark, sf_dir):
+    """Enriched rows with complete numbers, missing flags and pooled levels as codes ``_c<i>``, stored once.
 
+    History and duration fall back as fitted on the fit years; other numbers to their mean there.
+    """
+    rows = T.enriched(spark, sf_dir)
+    fit = rows.where("year <= 1999")
+    bins = binning.fit_bins(fit, CATEGORIES, [])
+    fitted = ML.fit_backoff(fit, RATES, DURATION, ["origin_airport", "destination_airport"])
+    others = [c for c in NUMBERS if c not in (DURATION, *RATES)]
+    means = fit.agg(*[F.avg(c).alias(c) for c in others]).first()
+    filled = ML.apply_backoff(rows, fitted).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c] or 0.0)) for c in others})
+    coded = bins.encode(filled, ["row_key", "year", "label", *NUMBERS, *FLAGS])
+    codes = {f"_c{k}": F.get("codes", F.lit(k)).cast("double") for k in range(len(CATEGORIES))}
+    return bins, materialize(coded.withColumns(codes).drop("codes"), "prepared")
 
-def _metrics_of(scored, models):
-    return M.evaluate(M.model_scores(scored, "label", models))
+
+def logistic(**params):
+    return ML.logistic_of_codes([f"_c{k}" for k in range(len(CATEGORIES))], [*NUMBERS, *FLAGS], **params)
 
 
 @query("logistic_regression", "ML7 ML2 SNK7")
 def logistic_regression(spark, sf_dir):
     """Test metrics of the fitted regression after saving and loading it."""
-    fit, _, test = prepared(spark, sf_dir)
+    _, rows = prepared(spark, sf_dir)
     path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
-    store.save_model(ML.logistic(CATEGORIES, [*NUMBERS, *FLAGS]).fit(fit), path)
-    return _metrics_of(ML.add_probability(test, store.load_model(path), "logistic_regression"), ["logistic_regression"])
+    store.save_model(logistic().fit(rows.where("year <= 2000")), path)
+    scored = ML.add_probability(rows.where("year = 2001"), store.load_model(path), "logistic_regression")
+    return _metrics_of(scored, ["logistic_regression"])
 
 
 @query("logistic_coefficients", "ML16")
 def logistic_coefficients(spark, sf_dir):
-    fit, _, _ = prepared(spark, sf_dir)
-    return ML.coefficients(ML.logistic(CATEGORIES, [*NUMBERS, *FLAGS], regParam=1e-3, elasticNetParam=0.05).fit(fit), fit)
+    bins, rows = prepared(spark, sf_dir)
+    model = logistic(regParam=1e-3, elasticNetParam=0.05).fit(rows.where("year <= 2000"))
+    return ML.coefficients(spark, model, bins, [*NUMBERS, *FLAGS])
+
+
+def final_trees(spark, sf_dir, candidates):
+    """Bins, trees of all candidates fitted on the years before the test year, and the coded test rows."""
+    bins, rows = coded(spark, sf_dir, 2000)
+    return bins, boosting.fit(rows.where("year <= 2000"), bins, candidates), rows.where("year = 2001")
 
 
 @query("boosted_trees", "ML8")
 def boosted_trees(spark, sf_dir):
-    fit, _, test = prepared(spark, sf_dir)
-    fit, test = pooled(fit, fit, test)
-    model = trees(spark, FINAL_ROUNDS).fit(spread(fit))
-    return _metrics_of(ML.add_probability(test, model, "boosted_trees"), ["boosted_trees"])
+    bins, model, test = final_trees(spark, sf_dir, {"boosted_trees": boosting.Trees(FINAL_ROUNDS)})
+    scored = boosting.score(test.select("label", "codes"), boosting.load(model, bins), {"boosted_trees": "boosted_trees"})
+    return _metrics_of(materialize(scored, "scored"), ["boosted_trees"])
 
 
 @query("tree_importance", "ML16")
 def tree_importance(spark, sf_dir):
-    fit, _, _ = prepared(spark, sf_dir)
-    fit, = pooled(fit, fit)
-    return ML.tree_importance(trees(spark, FINAL_ROUNDS).fit(spread(fit)), fit)
+    bins, model, _ = final_trees(spark, sf_dir, {"boosted_trees": boosting.Trees(FINAL_ROUNDS)})
+    return boosting.importance(model, bins).drop("candidate").orderBy(F.desc("importance"), "feature")
 
 
-#: Pair terms in the order in which they are added.
-INTERACTIONS = [
-    ("scheduled_departure_hour", "disc"), ("departure_weekday", "scheduled_departure_hour"), ("airline", "scheduled_departure_hour"),
-    ("scheduled_departure_hour", RATES[0]), (RATES[0], RATES[1]), ("origin_hourly_scheduled_flights", "scheduled_departure_hour"),
-    (DURATION, "scheduled_departure_hour"), ("destination_daily_scheduled_flights", "departure_weekday"),
-]
+@query("training_loss", "ML8")
+def training_loss(spark, sf_dir):
+    """Log loss on the fit rows before every round."""
+    _, model, _ = final_trees(spark, sf_dir, {"boosted_trees": boosting.Trees(FINAL_ROUNDS)})
+    return boosting.losses(model).drop("candidate").orderBy("tree")
+
+
+def additive(spark, sf_dir, candidates, interactions, until=2000):
+    """Bins, additive models of all candidates fitted on years up to ``until``, and all coded rows."""
+    bins, rows = coded(spark, sf_dir, until)
+    return AD.fit(rows.where(F.col("year") <= until), bins, candidates, interactions), rows
+
+
+def final_additive(spark, sf_dir):
+    models, rows = additive(spark, sf_dir, {"additive": AD.Additive()}, {"additive": PAIRS})
+    return models["additive"], rows
+
 
+def _probability(margin):
+    return 1.0 / (1.0 + F.exp(-F.col(margin)))
 
-@query("additive_model", "ML9")
+
+@query("additive_model", "ML9 SNK7")
 def additive_model(spark, sf_dir):
-    fit, _, test = split_table(spark, sf_dir)
-    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS)
-    return _metrics_of(model.score(test, "additive"), ["additive"])
+    """Test metrics of the fitted model after storing it as tables and loading it."""
+    model, rows = final_additive(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/additive-{uuid.uuid4().hex}"
+    model.save(spark, path)
+    test = AD.AdditiveModel.load(spark, path).margin_of_codes(rows.where("year = 2001"), "_margin")
+    return _metrics_of(test.select("label", _probability("_margin").alias("additive")), ["additive"])
 
 
 @query("additive_importance", "ML16 EX1 SCL15")
 def additive_importance(spark, sf_dir):
-    fit, _, test = split_table(spark, sf_dir)
-    table = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS).importance(test)
-    return table.withColumn("display_term", V.display_name(F.col("term"), DISPLAY))
+    model, _ = final_additive(spark, sf_dir)
+    table = model.importance(T.split(spark, sf_dir)["test"])
+    return table.withColumn("display_term", V.display_name(F.col("term"), DISPLAY)).orderBy(F.desc("importance"), "term")
 
 
 @query("additive_curves", "EX1 EX7")
 def additive_curves(spark, sf_dir):
-    """Response curve of the departure hour with its monotone fit."""
-    fit, _, _ = split_table(spark, sf_dir)
-    model = ML.fit_additive(fit, CATEGORIES, NUMBERS, INTERACTIONS)
-    curve = model.curve(spark, "scheduled_departure_hour").withColumnsRenamed({"term": "feature", "score": "effect"})
-    return X.monotone_fit(curve)
-
-
-def _reaches(minutes):
-    return F.coalesce(F.col("ArrDelay") >= minutes, F.lit(False)).cast("int")
+    """Response curves of all numbers with more than two bins, each with its monotone fit."""
+    model, _ = final_additive(spark, sf_dir)
+    curves = [model.curve(spark, f) for f in NUMBERS if len(model.bins.edges[f]) > 2]
+    stacked = curves[0]
+    for curve in curves[1:]:
+        stacked = stacked.unionByName(curve)
+    return X.monotone_fit(stacked.withColumnsRenamed({"term": "feature", "score": "effect"}))
 
 
 def severity_scores(spark, sf_dir, thresholds):
     """Test rows with the probability of reaching each threshold, one model each, and the names of these columns."""
-    fit, _, test = split_table(spark, sf_dir)
-    scored, columns = test, {}
-    for minutes in thresholds:
-        columns[minutes] = f"p_delay_ge_{minutes}"
-        model = ML.fit_additive(fit.withColumn("label", _reaches(minutes)), CATEGORIES, NUMBERS, INTERACTIONS)
-        scored = model.score(scored, columns[minutes])
-    return materialize(scored, "severity"), columns
+    candidates = {str(t): AD.Additive(label=_LATE[t]) for t in thresholds}
+    models, rows = additive(spark, sf_dir, candidates, {c: PAIRS for c in candidates}, 1999)
+    scored, columns = rows.where("year = 2001"), {t: f"p_delay_ge_{t}" for t in thresholds}
+    for t, c in columns.items():
+        scored = models[str(t)].margin_of_codes(scored, f"_m{t}").withColumn(c, _probability(f"_m{t}"))
+    return materialize(scored.drop("codes", *[f"_m{t}" for t in thresholds]), "severity"), columns
 
 
 @query("severity_models", "ML10 SCL17")
@@ -288,7 +316,7 @@ def severity_metrics(spark, sf_dir):
     """Metrics of each threshold's model over all test rows."""
     scored, columns = severity_scores(spark, sf_dir, SEVERITY_MINUTES)
     lines = F.array(*[
-        F.struct(F.lit(t).alias("delay_threshold_minutes"), _reaches(t).alias("label"), F.col(c).alias("score")) for t, c in columns.items()
+        F.struct(F.lit(t).alias("delay_threshold_minutes"), F.col(_LATE[t]).alias("label"), F.col(c).alias("score")) for t, c in columns.items()
     ])
     return M.evaluate(scored.select(F.inline(lines)), ["delay_threshold_minutes"])
 
@@ -301,54 +329,196 @@ def severity_example(spark, sf_dir):
     return X.severity_profile(example, columns, ["origin_airport", "destination_airport", "scheduled_departure_hour"])
 
 
-def grid_candidates(spark):
-    """Name and fit of every candidate; regression and trees read the columns with rare levels pooled."""
-    named = lambda family, params: f"{family} " + " ".join(f"{k}={v}" for k, v in params.items())
-    levels, numbers = [f"{c}_pooled" for c in CATEGORIES], [*NUMBERS, *FLAGS]
-    return {
-        **{named("logistic", p): (lambda df, p=p: ML.logistic(levels, numbers, maxIter=80, **p).fit(df)) for p in LOGISTIC_GRID},
-        **{named("trees", p): (lambda df, p=p: trees(spark, GRID_ROUNDS, "_pooled", **p).fit(df)) for p in TREE_GRID},
-        **{f"additive pairs={n}": (lambda df, n=n: ML.fit_additive(df, CATEGORIES, NUMBERS, INTERACTIONS[:n])) for n in PAIR_GRID},
-    }
+def _named(family, params):
+    return f"{family} " + " ".join(f"{k}={v}" for k, v in params.items())
 
 
 @query("grid_search", "ML11 TK5 EV9")
 def grid_search(spark, sf_dir):
-    fit, valid, _ = prepared(spark, sf_dir)
-    fit, valid = pooled(fit, fit, valid, suffix="_pooled")
-    _, metrics = ML.grid_search(spread(fit), valid, grid_candidates(spark))
+    """The best candidate of each family by average precision on the validation year."""
+    bins, rows = coded(spark, sf_dir)
+    fit, valid = rows.where("year <= 1999"), rows.where("year = 2000")
+    trees = {_named("trees", p): boosting.Trees(GRID_ROUNDS, **p) for p in TREE_GRID}
+    scored = boosting.score(valid.select("row_key", "label", "codes"), boosting.load(boosting.fit(fit, bins, trees), bins), {c: c for c in trees})
+    terms = {f"additive pairs={n} " + _named("", p).strip(): (n, AD.Additive(**p)) for n, p in ADDITIVE_GRID}
+    models = AD.fit(fit, bins, {c: p for c, (_, p) in terms.items()}, {c: n for c, (n, _) in terms.items()})
+    by_terms = valid
+    for k, c in enumerate(terms):
+        by_terms = models[c].margin_of_codes(by_terms, f"_m{k}")
+    by_terms = by_terms.select("label", *[_probability(f"_m{k}").alias(c) for k, c in enumerate(terms)])
+    _, complete = prepared(spark, sf_dir)
+    regressions = {_named("logistic", p): logistic(maxIter=80, **p) for p in LOGISTIC_GRID}
+    known, checked = complete.where("year <= 1999"), complete.where("year = 2000")
+    for c, estimator in regressions.items():
+        checked = ML.add_probability(checked, estimator.fit(known), c)
+    lines = [M.model_scores(materialize(df.select("label", *[F.col(f"`{c}`") for c in names]), "scored"), "label", names)
+             for df, names in ((scored, list(trees)), (by_terms, list(terms)), (checked, list(regressions)))]
+    metrics = M.evaluate(lines[0].unionByName(lines[1]).unionByName(lines[2]))
     return ML.best_by_group(metrics, F.split("model", " ")[0])
 
 
-_BLOCKS = {
-    "identity": ["airline", "origin_airport", "destination_airport"],
-    "timing": ["scheduled_departure_hour", DURATION, "departure_weekday"],
-    "congestion": ["origin_hourly_scheduled_flights", "destination_daily_scheduled_flights"],
-    "history": RATES,
-    "discount": ["disc"],
-}
+@query("block_ablation", "ML12 AS11")
+def block_ablation(spark, sf_dir):
+    """Every optional feature block screened by trees without it: gains on the validation year and a paired interval."""
+    bins, rows = coded(spark, sf_dir)
+    optional = [g for g in FEATURE_GROUPS if g not in REQUIRED_GROUPS]
+    candidates = {"full": boosting.Trees(SCREEN_ROUNDS)} | {g: boosting.Trees(SCREEN_ROUNDS, without=tuple(FEATURE_GROUPS[g])) for g in optional}
+    model = boosting.fit(rows.where("year <= 1999"), bins, candidates)
+    valid = rows.where("year = 2000").select("label", "codes")
+    scored = materialize(boosting.score(valid, boosting.load(model, bins), {c: c for c in candidates}), "scored")
+    return screening_table(scored, "full", optional, list(REQUIRED_GROUPS))
+
+
+def screening_table(scored, full, optional, required):
+    """Gains of a full model over models without a block, from one table with a score column for each."""
+    decided = M.block_decisions(M.evaluate(M.model_scores(scored, "label", [full, *optional])), full, SCREEN_THRESHOLD_AP, ())
+    lines = F.array(*[F.struct(F.lit(g).alias("_group"), F.col(f"`{g}`").alias("_without")) for g in optional])
+    gains = M.paired_gain(scored.select("label", F.col(full).alias("_full"), F.inline(lines)), "label", "_full", "_without", ["_group"])
+    table = decided.join(F.broadcast(gains), F.col("feature_group") == F.col("_group")).select(  # one row per block
+        "feature_group", "validation_ap_without_group", "validation_ap_gain", "validation_auc_gain",
+        F.col("log_loss_gain").alias("paired_log_loss_gain"), F.col("ci_low").alias("loss_gain_ci_low"), F.col("ci_high").alias("loss_gain_ci_high"),
+        "included", "decision",
+    )
+    kept = [(g, *[None] * 6, True, "Required task definition") for g in required]
+    return table.unionByName(scored.sparkSession.createDataFrame(kept, table.schema))
+
+
+@query("permutation_significance", "AS10 AS11")
+def permutation_significance(spark, sf_dir):
+    """Extra log loss of the screening trees when one history or network column is shuffled over the validation year."""
+    bins, rows = coded(spark, sf_dir)
+    model = boosting.load(boosting.fit(rows.where("year <= 1999"), bins, {"full": boosting.Trees(SCREEN_ROUNDS)}), bins)
+    features = [*FEATURE_GROUPS["Lagged network centrality"], *FEATURE_GROUPS["Recent delay propagation"]]
+    valid = rows.where("year = 2000").select("row_key", "label", "codes")
+    swapped = sampling.exchange(valid, ["codes"], "row_key", 42)
+    scored = materialize(boosting.score_exchanged(swapped, model, "full", bins, features).drop("row_key"), "scored")
+    lines = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"permuted_{f}").alias("_permuted")) for f in features])
+    gains = M.paired_gain(scored.select("label", "baseline", F.inline(lines)), "label", "baseline", "_permuted", ["feature"])
+    return gains.select(
+        "feature", V.display_name(F.col("feature"), DISPLAY).alias("display_name"), F.col("log_loss_gain").alias("permutation_log_loss_gain"),
+        F.col("ci_low").alias("loss_gain_ci_low"), F.col("ci_high").alias("loss_gain_ci_high"), "statistically_detectable",
+    )
 
 
-@query("block_ablation", "ML12")
-def block_ablation(spark, sf_dir):
-    fit, valid, _ = prepared(spark, sf_dir)
+# Congestion columns and the airport they are shuffled within.
+CONDITIONED = {"origin_hourly_scheduled_flights": "origin_airport", "destination_daily_scheduled_flights": "destination_airport"}
+
+
+@query("conditional_audit", "AS9 EV2 SCL14")
+def conditional_audit(spark, sf_dir):
+    """What the additive model loses when a congestion column is shuffled among the test flights of its airport."""
+    model, rows = final_additive(spark, sf_dir)
+    test = rows.where("year = 2001").select("row_key", "label", "codes", *CONDITIONED.values())
+    scored = model.margin_of_codes(test, "_m").select("label", F.lit("baseline").alias("model"), _probability("_m").alias("score"))
+    for feature, within in CONDITIONED.items():
+        swapped = sampling.exchange(test, ["codes"], "row_key", 808, [within])
+        place = bins_place(model.bins, feature)
+        mixed = F.transform("codes", lambda c, k: F.when(k == place, F.get("given_codes", F.lit(place))).otherwise(c))
+        part = model.margin_of_codes(swapped.withColumn("codes", mixed), "_m").select("label", F.lit(feature).alias("model"), _probability("_m").alias("score"))
+        scored = scored.unionByName(part)
+    table = materialize(M.evaluate(materialize(scored, "scored")), "metrics")
+    base = table.where("model = 'baseline'").select(F.struct("average_precision", "log_loss")).scalar()
+    within = F.create_map(*[F.lit(x) for kv in CONDITIONED.items() for x in kv])
+    drop = base.getField("average_precision") - F.col("average_precision")
+    return table.where("model <> 'baseline'").select(
+        F.col("model").alias("feature"), within[F.col("model")].alias("conditioned_within"),
+        base.getField("average_precision").alias("baseline_average_precision"),
+        F.col("average_precision").alias("conditional_permutation_average_precision"),
+        (drop * 10_000).alias("average_precision_drop_basis_points"), (F.col("log_loss") - base.getField("log_loss")).alias("log_loss_increase"),
+        M.permutation_verdict(base.getField("average_precision"), F.col("average_precision"), PERMUTATION_VERDICT_AP).alias("interpretation"),
+    )
 
-    def train(df, columns):
-        cats = [c for c in columns if c in CATEGORIES]
-        return ML.logistic(cats, [c for c in columns if c not in CATEGORIES]).fit(df)
 
-    return ML.block_ablation(fit, valid, _BLOCKS, train, ["identity", "timing"], SCREEN_THRESHOLD_AP)
+def bins_place(bins, feature):
+    return bins.features.index(feature)
 
 
 @query("seed_ensemble", "ML15 EV9 AS11")
 def seed_ensemble(spark, sf_dir):
-    """Log-loss gain of the three-seed mean over each single seed."""
-    fit, _, test = prepared(spark, sf_dir)
-    fit, test = pooled(fit, fit, test)
-    fit = spread(fit)
-    models = [trees(spark, FINAL_ROUNDS, seed=s).fit(fit) for s in (42, 43, 44)]
-    scored = materialize(ML.seed_ensemble(ML.add_probability(test, models[0], "single"), models, "mean"), "ensemble")
-    return M.paired_gain(scored, "label", "mean", "single")
+    """Log-loss gain of the three-seed mean over a single seed; all seeds are fitted at once."""
+    seeds = {f"seed_{s}": boosting.Trees(FINAL_ROUNDS, seed=s) for s in (42, 43, 44)}
+    bins, model, test = final_trees(spark, sf_dir, seeds)
+    scored = boosting.score(test.select("label", "codes"), boosting.load(model, bins), {c: c for c in seeds})
+    stored = materialize(scored.select("label", F.col("seed_42").alias("single"), (sum(F.col(c) for c in seeds) / len(seeds)).alias("mean")), "ensemble")
+    return M.paired_gain(stored, "label", "mean", "single")
+
+
+# --- searches that SQL can repeat ----------------------------------------------------------
+
+_SEARCHED = ["Origin", "departure_hour", "CRSElapsedTime"]
+
+
+@query(
+    "root_split", "ML8",
+    sql_with(RAW_SQL, """fit AS (
+      SELECT "Origin", departure_hour, "CRSElapsedTime" AS duration, "ArrDel15" AS y, avg("ArrDel15") OVER () AS p FROM flights WHERE primary_eligible = 1 AND "year" <= 1999
+    ), rows_ AS (SELECT *, p - y AS g, p * (1 - p) AS h FROM fit
+    ), whole AS (SELECT sum(g) AS tg, sum(h) AS th FROM rows_
+    ), bins AS (
+      SELECT 'Origin' AS feature, "Origin" AS level, CAST(NULL AS DOUBLE) AS value, sum(g) AS g, sum(h) AS h FROM rows_ GROUP BY ALL
+      UNION ALL SELECT 'departure_hour', NULL, CAST(departure_hour AS DOUBLE), sum(g), sum(h) FROM rows_ GROUP BY ALL
+      UNION ALL SELECT 'CRSElapsedTime', NULL, CAST(duration AS DOUBLE), sum(g), sum(h) FROM rows_ GROUP BY ALL
+    ), missing AS (SELECT feature, sum(g) AS mg, sum(h) AS mh FROM bins WHERE feature <> 'Origin' AND value IS NULL GROUP BY feature
+    ), lefts AS (
+      SELECT feature, level, CAST(NULL AS DOUBLE) AS below, false AS missing_left, g, h FROM bins WHERE feature = 'Origin'
+      UNION ALL
+      SELECT feature, NULL, lead(value) OVER w, false, sum(g) OVER (w ROWS UNBOUNDED PRECEDING), sum(h) OVER (w ROWS UNBOUNDED PRECEDING)
+      FROM bins WHERE feature <> 'Origin' AND value IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY value)
+    ), sides AS (
+      SELECT * FROM lefts UNION ALL
+      SELECT l.feature, level, below, true, g + mg, h + mh FROM lefts l JOIN missing m ON l.feature = m.feature WHERE l.below IS NOT NULL
+    ), gains AS (
+      SELECT feature, coalesce(level, CASE WHEN below IS NULL THEN 'present' ELSE 'below ' || CAST(below AS VARCHAR) END) AS split, missing_left,
+             round((g * g / (h + 2) + (tg - g) * (tg - g) / (th - h + 2) - tg * tg / (th + 2)) / 2, 6) AS gain
+      FROM sides, whole WHERE h >= 10 AND th - h >= 10
+    )""", body="SELECT feature, max(gain) AS best_gain, arg_max(split, gain) AS split FROM gains GROUP BY feature"),
+)
+def root_split(spark, sf_dir):
+    """The best first split of each of three features, from the histogram that trees are grown on."""
+    fit = eligible_flights(spark, sf_dir, "row_key", "year", "ArrDel15", *_SEARCHED).where("year <= 1999")
+    fit = materialize(fit.withColumns({"departure_hour": F.col("departure_hour").cast("double"), "p": F.lit(fit.agg(F.avg("ArrDel15")).first()[0])}), "fit")
+    bins = binning.fit_bins(fit, ["Origin"], ["departure_hour", "CRSElapsedTime"], min_rows=1)
+    coded = bins.encode(fit.withColumns({"g": F.col("p") - F.col("ArrDel15"), "h": F.col("p") * (1 - F.col("p"))}), ["g", "h"])
+    layout = boosting.Layout(bins.widths(), 1)
+    g, h = np.zeros((1, layout.places)), np.zeros((1, layout.places))
+    for r in binning.sum_by_code(coded, _SEARCHED, ["g", "h"]).collect():  # one row per bin
+        at = layout.starts[_SEARCHED.index(r["feature"])] + r["code"]
+        g[0, at], h[0, at] = r["g"], r["h"]
+    rows = []
+    for k, f in enumerate(_SEARCHED):
+        own = layout.feature == k
+        place, _, gain, _, _ = boosting.best_splits(g, h, g[:, own].sum(1), h[:, own].sum(1), layout, np.arange(len(_SEARCHED)) == k, 10.0, 2.0)
+        code = int(layout.code[place[0]])
+        edges = bins.edges.get(f, [])
+        split = bins.names[f][code - 1] if f in bins.names else "present" if code > len(edges) else f"below {edges[code - 1]}"
+        rows.append((f, round(float(gain[0]), 6), split))
+    return spark.createDataFrame(rows, "feature string, best_gain double, split string")
+
+
+_PAIRED = {"departure_hour": 24, "month": 13, "day_of_week": 7, "disc": 11}
+
+
+@query(
+    "pair_ranking", "ML9",
+    sql_with(RAW_SQL, """rows_ AS (
+      SELECT departure_hour, "month", day_of_week, disc, score_a - "ArrDel15" AS g, score_a * (1 - score_a) AS h FROM flights WHERE primary_eligible = 1
+    ), cells AS (""" + " UNION ALL ".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, "{a}" AS i, "{b}" AS j, sum(g) AS g, sum(h) AS h FROM rows_ GROUP BY ALL"""
+        for a, b in combinations(_PAIRED, 2)) + """
+    ), parts AS (
+      SELECT a, b, sum(g * g / (h + 1)) AS s FROM cells GROUP BY a, b
+      UNION ALL SELECT a, b, -sum(g * g / (h + 1)) FROM (SELECT a, b, i, sum(g) AS g, sum(h) AS h FROM cells GROUP BY a, b, i) GROUP BY a, b
+      UNION ALL SELECT a, b, -sum(g * g / (h + 1)) FROM (SELECT a, b, j, sum(g) AS g, sum(h) AS h FROM cells GROUP BY a, b, j) GROUP BY a, b
+      UNION ALL SELECT a, b, sum(g * g / (h + 1)) FROM (SELECT a, b, sum(g) AS g, sum(h) AS h FROM cells GROUP BY a, b) GROUP BY a, b
+    )""", body="SELECT a, b, round(sum(s) / 2, 6) AS gain FROM parts GROUP BY a, b"),
+)
+def pair_ranking(spark, sf_dir):
+    """Loss that each pair of four columns could remove from a given score, beyond both columns alone."""
+    rows = eligible_flights(spark, sf_dir, "score_a", "ArrDel15", *_PAIRED)
+    p = F.col("score_a")
+    coded = rows.select(F.array(*[F.col(c).cast("smallint") for c in _PAIRED]).alias("codes"), (p - F.col("ArrDel15")).alias("g"), (p * (1 - p)).alias("h"))
+    gains = AD.pair_gains(coded, list(_PAIRED), [np.arange(n) for n in _PAIRED.values()])
+    return gains.withColumn("gain", F.round("gain", 6))
 
 
 # --- decisions and catalogue --------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain as X, models as ML, profile as R
+from riskloom.operators import binning, explain as X, models as ML, profile as R
 from riskloom.plans import flights as P
 from riskloom.session import materialize
 from riskloom.sources import store
@@ -57,45 +57,29 @@ def learnable(spark):
     return spark.createDataFrame(data, "row_key string, code string, hour double, noise double, label int, year int").cache()
 
 
-def test_additive_model_is_exactly_additive(spark, learnable):
-    model = ML.fit_additive(learnable, ["code"], ["hour", "noise"], [("hour", "code")], max_bins=16)
-    out = model.contributions(model.score(learnable, "p")).limit(200).collect()
-    assert model.terms == ["code", "hour", "noise", "hour & code"]
-    for r in out:
-        total = model.intercept + sum(r[f"term_{i}"] for i in range(4))
-        assert abs(1 / (1 + math.exp(-total)) - r["p"]) < 1e-12
-    centred = model.contributions(learnable).agg(*[F.avg(f"term_{i}") for i in range(4)]).first()
-    assert all(abs(v) < 1e-9 for v in centred)
-    unseen = spark.createDataFrame([("q", "new", None, float("nan"), 0, 2000)], learnable.schema)
-    assert 0 < model.score(unseen, "p").first()["p"] < 1
-    curve = model.curve(spark, "hour").orderBy("x").collect()
-    assert curve[0]["score"] < curve[-1]["score"]
-
-
-def test_grid_search_ablation_and_persistence(spark, learnable):
+def test_grid_search_and_persistence(spark, learnable):
     filled = learnable.fillna(0.0, ["hour"])
     train, valid = filled.where("year < 2002"), filled.where("year = 2002")
-    fit = lambda df, columns: ML.logistic([c for c in columns if c == "code"], [c for c in columns if c != "code"], maxIter=20).fit(df)
-    models, metrics = ML.grid_search(train, valid, {"trees 0.1": lambda df: ML.boosted_trees(["code"], ["hour", "noise"], maxIter=3, maxDepth=3).fit(df),
-                                                    "additive": lambda df: ML.fit_additive(df, ["code"], ["hour"], max_bins=8)})
-    assert {r["model"] for r in metrics.collect()} == {"trees 0.1", "additive"}
-    assert all(r["roc_auc"] > 0.6 for r in metrics.collect())
+    fit = lambda df, columns, **p: ML.logistic([c for c in columns if c == "code"], [c for c in columns if c != "code"], maxIter=20, **p).fit(df)
+    models, metrics = ML.grid_search(train, valid, {"weak 1": lambda df: fit(df, ["code", "hour"], regParam=1.0), "free 0": lambda df: fit(df, ["code", "hour"])})
+    assert {r["model"] for r in metrics.collect()} == {"weak 1", "free 0"} and all(r["roc_auc"] > 0.6 for r in metrics.collect())
     assert ML.best_by_group(metrics, F.lit("all")).count() == 1
-
-    groups = {"task": ["code"], "time": ["hour"], "junk": ["noise"]}
-    table = {r["feature_group"]: r for r in ML.block_ablation(train, valid, groups, fit, ["task"], 0.01).collect()}
-    assert table["time"]["included"] and not table["junk"]["included"] and table["task"]["decision"] == "Required task definition"
-
-    model = fit(train, ["code", "hour", "noise"])
     path = tempfile.mkdtemp(prefix="run-") + "/model"
-    store.save_model(model, path)
+    store.save_model(models["free 0"], path)
     score = lambda m: [r["p"] for r in ML.add_probability(valid, m, "p").orderBy("row_key").collect()]
-    assert score(store.load_model(path)) == score(model)
-    assert {r["feature"] for r in ML.coefficients(model, train).collect()} >= {"_scaled_0", "_scaled_1"} or ML.coefficients(model, train).count() == 5
+    assert score(store.load_model(path)) == score(models["free 0"])
+
 
-    two = [ML.boosted_trees(["code"], ["hour"], maxIter=2, seed=s).fit(train) for s in (1, 2)]
-    row = ML.add_probability(ML.add_probability(ML.seed_ensemble(valid, two, "m"), two[0], "p0"), two[1], "p1").first()
-    assert abs(row["m"] - (row["p0"] + row["p1"]) / 2) < 1e-12
+def test_regression_on_codes(spark, learnable):
+    filled = learnable.fillna(0.0, ["hour"])
+    bins = binning.fit_bins(filled, ["code"], [], min_rows=1)
+    coded = bins.encode(filled, ["label", "hour", "noise"]).withColumn("_c0", F.get("codes", F.lit(0)).cast("double"))
+    model = ML.logistic_of_codes(["_c0"], ["hour", "noise"], maxIter=20).fit(coded)
+    table = {r["feature"]: r["coefficient"] for r in ML.coefficients(spark, model, bins, ["hour", "noise"]).collect()}
+    assert {"code=x", "code=y", "code=z", "hour", "noise"} <= set(table)
+    assert table["code=x"] > table["code=y"] and table["hour"] > abs(table["noise"])
+    unseen = coded.limit(1).withColumn("_c0", F.lit(0.0))
+    assert 0 < ML.add_probability(unseen, model, "p").first()["p"] < 1
 
 
 # --- explanations ----------------------------------------------------------------------------

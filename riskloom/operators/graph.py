@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.functions.temporal import month_start, next_month_start
 from riskloom.functions.values import seeded_hash
 from riskloom.operators.ordering import row_numbers
-from riskloom.session import materialize, materialize_counting
+from riskloom.session import at_once, materialize, materialize_counting
 
 
 def monthly_edges(df: DataFrame, date: str = "FlightDate", src: str = "Origin", dst: str = "Dest") -> DataFrame:
@@ -263,7 +263,8 @@ def betweenness(
 
 def lagged_measures(edges: DataFrame, max_sources: int | None = None, seed: int = 42) -> DataFrame:
     """All node measures of a month, dated to the month after it."""
-    tables = [pagerank(edges), betweenness(edges, max_sources=max_sources, seed=seed), shares(edges)]
+    edges = materialize(edges, "edges")
+    tables = at_once(edges.sparkSession, lambda: pagerank(edges), lambda: betweenness(edges, max_sources=max_sources, seed=seed), lambda: shares(edges))
     joined = reduce(lambda a, b: a.join(b, ["network_month", "node"]), tables)
     return joined.select(
         next_month_start(F.col("network_month")).alias("flight_month"), F.col("node").alias("airport"),

@@ -144,9 +144,9 @@ def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hub_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw hub classes; one region is not classified at all."""
+    """Raw hub classes, with spaces around codes and without a class or volume in some rows."""
     key = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").where(F.col("n_regionkey") != 3).select(
+    return table(spark, sf_dir, "nation").select(
         F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("airport"),
         F.when(key % 8 != 6, F.get(F.array(*[F.lit(h) for h in HUBS]), key % 3)).alias("hub"),
         F.when(key % 12 == 0, F.lit("n/a")).otherwise((1000 * (key + 1)).cast("string")).alias("enplanements"),
@@ -238,7 +238,7 @@ hubs AS (
   SELECT n_name AS airport,
          CASE WHEN n_nationkey % 8 <> 6 THEN ([{_hub_list}])[n_nationkey % 3 + 1] ELSE 'Non-primary' END AS faa_hub_category,
          CASE WHEN n_nationkey % 12 <> 0 THEN CAST(1000 * (n_nationkey + 1) AS DOUBLE) END AS faa_2023_enplanements
-  FROM nation WHERE n_regionkey <> 3
+  FROM nation
 )"""
 
 _groups_sql = " ".join(f"WHEN '{code}' THEN '{group}'" for code, group in HAZARD_GROUPS.items())

@@ -22,7 +22,7 @@ from riskloom.plans.binding import RAW_SQL, labelled_flights, sql_with
 from riskloom.plans.feature_queries import TRAILING_SQL, eligible_flights
 from riskloom.plans.profile_queries import metrics_sql
 from riskloom.plans.registry import query
-from riskloom.session import materialize, scratch_dir
+from riskloom.session import at_once, materialize, scratch_dir
 from riskloom.sources import store
 
 RATES = ["origin_recent_delay_rate", "destination_recent_delay_rate", "route_recent_delay_rate"]
@@ -336,23 +336,33 @@ def _named(family, params):
 @query("grid_search", "ML11 TK5 EV9")
 def grid_search(spark, sf_dir):
     """The best candidate of each family by average precision on the validation year."""
-    bins, rows = coded(spark, sf_dir)
+    T.enriched(spark, sf_dir)  # stored before several parts ask for it
+    (bins, rows), (_, complete) = at_once(spark, lambda: coded(spark, sf_dir), lambda: prepared(spark, sf_dir))
     fit, valid = rows.where("year <= 1999"), rows.where("year = 2000")
-    trees = {_named("trees", p): boosting.Trees(GRID_ROUNDS, **p) for p in TREE_GRID}
-    scored = boosting.score(valid.select("row_key", "label", "codes"), boosting.load(boosting.fit(fit, bins, trees), bins), {c: c for c in trees})
-    terms = {f"additive pairs={n} " + _named("", p).strip(): (n, AD.Additive(**p)) for n, p in ADDITIVE_GRID}
-    models = AD.fit(fit, bins, {c: p for c, (_, p) in terms.items()}, {c: n for c, (n, _) in terms.items()})
-    by_terms = valid
-    for k, c in enumerate(terms):
-        by_terms = models[c].margin_of_codes(by_terms, f"_m{k}")
-    by_terms = by_terms.select("label", *[_probability(f"_m{k}").alias(c) for k, c in enumerate(terms)])
-    _, complete = prepared(spark, sf_dir)
-    regressions = {_named("logistic", p): logistic(maxIter=80, **p) for p in LOGISTIC_GRID}
-    known, checked = complete.where("year <= 1999"), complete.where("year = 2000")
-    for c, estimator in regressions.items():
-        checked = ML.add_probability(checked, estimator.fit(known), c)
-    lines = [M.model_scores(materialize(df.select("label", *[F.col(f"`{c}`") for c in names]), "scored"), "label", names)
-             for df, names in ((scored, list(trees)), (by_terms, list(terms)), (checked, list(regressions)))]
+
+    def by_trees():
+        trees = {_named("trees", p): boosting.Trees(GRID_ROUNDS, **p) for p in TREE_GRID}
+        model = boosting.load(boosting.fit(fit, bins, trees), bins)
+        return boosting.score(valid.select("label", "codes"), model, {c: c for c in trees}), list(trees)
+
+    def by_terms():
+        terms = {f"additive pairs={n} " + _named("", p).strip(): (n, AD.Additive(**p)) for n, p in ADDITIVE_GRID}
+        models = AD.fit(fit, bins, {c: p for c, (_, p) in terms.items()}, {c: n for c, (n, _) in terms.items()})
+        scored = valid
+        for k, c in enumerate(terms):
+            scored = models[c].margin_of_codes(scored, f"_m{k}")
+        return scored.select("label", *[_probability(f"_m{k}").alias(c) for k, c in enumerate(terms)]), list(terms)
+
+    def by_regression():
+        fits, scored = {_named("logistic", p): logistic(maxIter=80, **p) for p in LOGISTIC_GRID}, complete.where("year = 2000")
+        for c, estimator in fits.items():
+            scored = ML.add_probability(scored, estimator.fit(complete.where("year <= 1999")), c)
+        return scored, list(fits)
+
+    lines = [
+        M.model_scores(materialize(df.select("label", *[F.col(f"`{c}`") for c in names]), "scored"), "label", names)
+        for df, names in at_once(spark, by_trees, by_terms, by_regression)
+    ]
     metrics = M.evaluate(lines[0].unionByName(lines[1]).unionByName(lines[2]))
     return ML.best_by_group(metrics, F.split("model", " ")[0])
 

@@ -12,7 +12,7 @@ from riskloom.operators.cohort import eligible, temporal_split
 from riskloom.plans import binding as B, flights as P
 from riskloom.plans.feature_queries import processed
 from riskloom.plans.graph_queries import lagged
-from riskloom.session import materialize, scratch_dir
+from riskloom.session import at_once, materialize, scratch_dir
 
 FEATURES = [f for columns in FEATURE_GROUPS.values() for f in columns]
 CATEGORIES = [f for f in FEATURES if f in CATEGORICAL]
@@ -30,10 +30,16 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _STORED:
-        flights = materialize(eligible(processed(spark, sf_dir)), "eligible")
-        rates = materialize(history.trailing_features(flights), "rates")
-        hubs = materialize(P.hub_dimension(B.hub_classes(spark, sf_dir)), "hubs")
-        table = P.enrich(flights, rates, lagged(spark, sf_dir), hubs.select("airport", "faa_hub_category"))
+        needed = ("FlightDate", "Origin", "Dest", "ArrDel15", "primary_eligible")
+        outcomes = eligible(B.labelled_flights(spark, sf_dir, *needed))
+        flights, rates, measures, hubs = at_once(
+            spark,
+            lambda: materialize(eligible(processed(spark, sf_dir)), "eligible"),
+            lambda: materialize(history.trailing_features(materialize(outcomes, "outcomes")), "rates"),
+            lambda: lagged(spark, sf_dir),
+            lambda: materialize(P.hub_dimension(B.hub_classes(spark, sf_dir)).select("airport", "faa_hub_category"), "hubs"),
+        )
+        table = P.enrich(flights, rates, measures, hubs)
         table = table.withColumn("label", F.col("arrival_delay_15min").cast("int"))
         path = f"{scratch_dir(spark)}/enriched-{uuid.uuid4().hex}"
         kept = ["row_key", "year", "flight_date", "ArrDelay", "label", *FEATURES]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
@@ -76,6 +79,12 @@ def materialize_counting(df: DataFrame, condition: Column, label: str = "stage")
     return stored, stored.where(condition).count()
 
 
+def at_once(spark: SparkSession, *parts: Callable[[], object]) -> list:
+    """Results of independent parts, submitted side by side: chains of small jobs leave cores idle."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(part)) for part in parts]]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core for a scan that comes in fewer splits than there are cores.
 

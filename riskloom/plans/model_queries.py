@@ -15,6 +15,7 @@ from riskloom.catalog import (
 from riskloom.functions import values as V
 from riskloom.operators import (
     additive as AD, binning, boosting, explain as X, history, joins, metrics as M, models as ML, profile as R, sampling,
+    stochastic as SG,
 )
 from riskloom.operators.cohort import eligible
 from riskloom.plans import flights as P, model_table as T
@@ -171,7 +172,7 @@ def _metrics_of(scored, models):
 # Rounds of the final trees, of the grid's and of the screening's.
 FINAL_ROUNDS, GRID_ROUNDS, SCREEN_ROUNDS = 650, 450, 300
 # Candidates of the three grids.
-LOGISTIC_GRID = [{"regParam": 3e-6}, {"regParam": 1e-5}, {"regParam": 3e-5}, {"regParam": 1e-5, "elasticNetParam": 0.05}]
+LOGISTIC_GRID = [{"penalty": 3e-6}, {"penalty": 1e-5}, {"penalty": 3e-5}, {"penalty": 1e-5, "l1_ratio": 0.05}]
 TREE_GRID = [
     {"depth": 4, "child_weight": 10.0, "rate": 0.05, "ridge": 2.0}, {"depth": 6, "child_weight": 10.0, "rate": 0.05, "ridge": 2.0},
     {"depth": 8, "child_weight": 20.0, "rate": 0.04, "ridge": 3.0},
@@ -185,7 +186,7 @@ PAIRS = 8
 
 
 def prepared(spark, sf_dir):
-    """Enriched rows with complete numbers, missing flags and pooled levels as codes ``_c<i>``, stored once.
+    """Enriched rows with complete numbers, missing flags and pooled levels as codes, stored once.
 
     History and duration fall back as fitted on the fit years; other numbers to their mean there.
     """
@@ -196,30 +197,29 @@ def prepared(spark, sf_dir):
     others = [c for c in NUMBERS if c not in (DURATION, *RATES)]
     means = fit.agg(*[F.avg(c).alias(c) for c in others]).first()
     filled = ML.apply_backoff(rows, fitted).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c] or 0.0)) for c in others})
-    coded = bins.encode(filled, ["row_key", "year", "label", *NUMBERS, *FLAGS])
-    codes = {f"_c{k}": F.get("codes", F.lit(k)).cast("double") for k in range(len(CATEGORIES))}
-    return bins, materialize(coded.withColumns(codes).drop("codes"), "prepared")
+    return bins, materialize(bins.encode(filled, ["row_key", "year", "label", *NUMBERS, *FLAGS]), "prepared")
 
 
-def logistic(**params):
-    return ML.logistic_of_codes([f"_c{k}" for k in range(len(CATEGORIES))], [*NUMBERS, *FLAGS], **params)
+def regression(spark, sf_dir, candidates, until):
+    """Fitted regressions of all candidates and the prepared rows."""
+    bins, rows = prepared(spark, sf_dir)
+    return SG.fit(rows.where(F.col("year") <= until), bins, [*NUMBERS, *FLAGS], candidates), rows
 
 
 @query("logistic_regression", "ML7 ML2 SNK7")
 def logistic_regression(spark, sf_dir):
-    """Test metrics of the fitted regression after saving and loading it."""
-    _, rows = prepared(spark, sf_dir)
-    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
-    store.save_model(logistic().fit(rows.where("year <= 2000")), path)
-    scored = ML.add_probability(rows.where("year = 2001"), store.load_model(path), "logistic_regression")
+    """Test metrics of the fitted regression after storing it as tables and loading it."""
+    models, rows = regression(spark, sf_dir, {"final": SG.Regression()}, 2000)
+    path = f"{scratch_dir(spark)}/regression-{uuid.uuid4().hex}"
+    models["final"].save(spark, path)
+    scored = SG.RegressionModel.load(spark, path).score(rows.where("year = 2001"), "logistic_regression")
     return _metrics_of(scored, ["logistic_regression"])
 
 
 @query("logistic_coefficients", "ML16")
 def logistic_coefficients(spark, sf_dir):
-    bins, rows = prepared(spark, sf_dir)
-    model = logistic(regParam=1e-3, elasticNetParam=0.05).fit(rows.where("year <= 2000"))
-    return ML.coefficients(spark, model, bins, [*NUMBERS, *FLAGS])
+    models, _ = regression(spark, sf_dir, {"final": SG.Regression(l1_ratio=0.05)}, 2000)
+    return models["final"].coefficients(spark)
 
 
 def final_trees(spark, sf_dir, candidates):
@@ -337,7 +337,7 @@ def _named(family, params):
 def grid_search(spark, sf_dir):
     """The best candidate of each family by average precision on the validation year."""
     T.enriched(spark, sf_dir)  # stored before several parts ask for it
-    (bins, rows), (_, complete) = at_once(spark, lambda: coded(spark, sf_dir), lambda: prepared(spark, sf_dir))
+    (bins, rows), (levels, complete) = at_once(spark, lambda: coded(spark, sf_dir), lambda: prepared(spark, sf_dir))
     fit, valid = rows.where("year <= 1999"), rows.where("year = 2000")
 
     def by_trees():
@@ -354,10 +354,11 @@ def grid_search(spark, sf_dir):
         return scored.select("label", *[_probability(f"_m{k}").alias(c) for k, c in enumerate(terms)]), list(terms)
 
     def by_regression():
-        fits, scored = {_named("logistic", p): logistic(maxIter=80, **p) for p in LOGISTIC_GRID}, complete.where("year = 2000")
-        for c, estimator in fits.items():
-            scored = ML.add_probability(scored, estimator.fit(complete.where("year <= 1999")), c)
-        return scored, list(fits)
+        grid = {_named("logistic", p): SG.Regression(epochs=80, patience=5, **p) for p in LOGISTIC_GRID}
+        models, scored = SG.fit(complete.where("year <= 1999"), levels, [*NUMBERS, *FLAGS], grid), complete.where("year = 2000")
+        for c, model in models.items():
+            scored = model.score(scored, c)
+        return scored, list(grid)
 
     lines = [
         M.model_scores(materialize(df.select("label", *[F.col(f"`{c}`") for c in names]), "scored"), "label", names)

@@ -63,13 +63,15 @@ def congestion(
 ) -> DataFrame:
     """Scheduled volumes, cancelled rows included, attached to every row.
 
-    Counted with map-side aggregation and joined back. A window over the rows
-    would put a whole day, however large, into one task; the counts are a small
-    table that adaptive execution broadcasts, or joins with the hot keys split.
+    One map-side aggregated count per day, route and hour is stored; all volumes add it up
+    further and are joined back. A window over the rows would put a whole day, however large,
+    into one task; the counts are a small table that adaptive execution broadcasts, or joins
+    with the hot keys split.
     """
-    hourly = df.groupBy(date, origin, hour).agg(F.count(F.lit(1)).alias("origin_hourly_scheduled"))
+    counts = materialize(df.groupBy(date, origin, dest, hour).agg(F.count(F.lit(1)).alias("n")), "counts")
+    hourly = counts.groupBy(date, origin, hour).agg(F.sum("n").alias("origin_hourly_scheduled"))
     same_day = W.partitionBy(date, origin)
     departures = hourly.withColumn("origin_daily_scheduled", F.sum("origin_hourly_scheduled").over(same_day))
-    arrivals = df.groupBy(date, dest).agg(F.count(F.lit(1)).alias("dest_daily_scheduled"))
+    arrivals = counts.groupBy(date, dest).agg(F.sum("n").alias("dest_daily_scheduled"))
     out = lookup_join(df, departures, {date: date, origin: origin, hour: hour}, validate=False)
     return lookup_join(out, arrivals, {date: date, dest: dest}, validate=False)

@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.operators.ordering import nearest_known
+from riskloom.session import materialize
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 
@@ -88,27 +91,27 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 def nearest_event(
     df: DataFrame, date: str, events: DataFrame, event_date: str = "date", event_name: str = "name", within: int = 3
 ) -> DataFrame:
-    """Distance in days to the nearest event and whether the day is one.
+    """Distance in days to the nearest event and whether the day is one; a time counts as its day.
 
-    Worked out once per distinct date against the array of all event dates, and
-    joined back; both are bounded by the calendar, so the join is a broadcast.
+    Distinct days and event days are merged in order, so a day meets the events beside it and
+    no others, however many there are. The result has one row per day and is joined back: by
+    broadcast if a count proves it small, else by a shuffle in which hot days are split. A null
+    date has no distance and is no event; without events every distance is null.
     """
-    per_day = events.groupBy(F.col(event_date).alias("_day")).agg(
+    day = lambda c: F.col(c).cast("date")
+    per_day = events.where(F.col(event_date).isNotNull()).groupBy(day(event_date).alias("_day")).agg(
         F.concat_ws("; ", F.sort_array(F.collect_set(event_name))).alias("_name")
+    ).withColumn("event", F.col("_day"))
+    days = df.select(day(date).alias("_day")).where("_day IS NOT NULL").distinct()
+    merged = nearest_known(days.join(per_day, "_day", "full"), "_day", "event")
+    distance = F.least(F.datediff("_day", "previous_event"), F.datediff("next_event", "_day"))
+    calendar = merged.select(
+        F.col("_day").alias("_date"),
+        F.coalesce("_name", F.lit("None")).alias("holiday_name"),
+        F.col("event").isNotNull().cast("int").alias("is_holiday"),
+        F.coalesce(distance <= within, F.lit(False)).cast("int").alias("within_3d_holiday"),
+        distance.cast("int").alias("days_to_nearest_holiday"),
     )
-    all_days = per_day.agg(F.sort_array(F.collect_list("_day")).alias("days")).scalar()
-    distance = F.array_min(F.transform("_days", lambda d: F.abs(F.datediff(d, F.col("_date")))))
-    dates = df.select(F.col(date).alias("_date")).distinct().withColumn("_days", all_days)
-    calendar = (
-        dates.withColumn("days_to_nearest_holiday", distance)
-        .join(F.broadcast(per_day), F.col("_date") == F.col("_day"), "left")
-        .select(
-            "_date",
-            F.coalesce("_name", F.lit("None")).alias("holiday_name"),
-            F.col("_day").isNotNull().cast("int").alias("is_holiday"),
-            F.coalesce(F.col("days_to_nearest_holiday") <= within, F.lit(False)).cast("int").alias("within_3d_holiday"),
-            "days_to_nearest_holiday",
-        )
-    )
-    joined = df.join(F.broadcast(calendar), F.col(date) == F.col("_date"), "left")
-    return joined.drop("_date")
+    joined = df.join(broadcast_if_small(materialize(calendar, "calendar")), day(date) == F.col("_date"), "left").drop("_date")
+    none = {"holiday_name": F.lit("None"), "is_holiday": F.lit(0), "within_3d_holiday": F.lit(0)}
+    return joined.withColumns({c: F.coalesce(c, default) for c, default in none.items()})

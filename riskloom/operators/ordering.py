@@ -98,3 +98,27 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], b
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     return pick_quantiles(running_totals(counts, [F.col(value)], ["_n"], by), value, "_n", probabilities, by)
+
+
+def nearest_known(df: DataFrame, order: str, value: str) -> DataFrame:
+    """Add ``previous_<v>`` and ``next_<v>``: the last value known at or before a row, and the first at or after it.
+
+    ``value`` must rise with ``order`` where it is known. Slices are searched on their own;
+    one row per slice carries the last value into later slices and the first into earlier ones.
+    """
+    placed = df.repartitionByRange(F.col(order)).withColumn("_slice", F.spark_partition_id())
+    placed = materialize(placed, "slices")
+    inside = W.partitionBy("_slice").orderBy(order)
+    before = inside.rangeBetween(W.unboundedPreceding, W.currentRow)
+    after = inside.rangeBetween(W.currentRow, W.unboundedFollowing)
+    ends = placed.groupBy("_slice").agg(F.min(value).alias("_first"), F.max(value).alias("_last"))
+    by_slice = W.orderBy("_at")  # one row per slice
+    carried = ends.select(F.col("_slice").alias("_at"), "_first", "_last").select(
+        "_at",
+        F.max("_last").over(by_slice.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_first").over(by_slice.rowsBetween(1, W.unboundedFollowing)).alias("_later"),
+    )
+    found = placed.select("*", F.max(value).over(before).alias("_up_to"), F.min(value).over(after).alias("_from"))
+    return found.join(carried, F.col("_slice") == F.col("_at")).select(
+        *df.columns, F.coalesce("_up_to", "_earlier").alias(f"previous_{value}"), F.coalesce("_from", "_later").alias(f"next_{value}")
+    )

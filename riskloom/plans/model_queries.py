@@ -652,9 +652,10 @@ def risk_points(spark, sf_dir):
         SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, level) AS rank FROM effects WHERE term IN ('Origin', 'Dest') AND "rows" >= 150), base WHERE rank <= 10"""),
 )
 def riskiest_airports(spark, sf_dir):
-    effects = effects_table(spark, sf_dir).where(F.col("term").isin("Origin", "Dest"))
-    counts = X.level_effects(explained(spark, sf_dir), "ArrDel15", {t: F.col(t) for t in ("Origin", "Dest")})
-    counted = joins.lookup_join(effects.drop("rows"), counts.select("term", "level", "rows"), {"term": "term", "level": "level"}, validate=False)
+    # Effects and their counts come from one stored aggregate of the flights.
+    effects = materialize(effects_table(spark, sf_dir).where(F.col("term").isin("Origin", "Dest")), "effects")
+    counts = effects.select("term", "level", "rows")
+    counted = joins.lookup_join(effects.drop("rows"), counts, {"term": "term", "level": "level"}, validate=False)
     return _rounded(X.category_risk(counted, base_rate(spark, sf_dir), 150), "risk_change_at_baseline_pp")
 
 

@@ -591,6 +591,19 @@ def store_round_trip(spark, sf_dir):
     return spark.sql("SELECT row_key, year, month, ArrDelay FROM stored_flights WHERE year IN (1997, 1999)")
 
 
+@query(
+    "resumed_store", "SNK1 SNK3 SRC3",
+    sql_with(RAW_SQL, body='SELECT "year", "month", count(*) AS "rows" FROM flights GROUP BY ALL'),
+)
+def resumed_store(spark, sf_dir):
+    """Months and rows of a store that a first run left half done and a second one finished."""
+    path = _fresh(spark, "store")
+    flights = labelled_flights(spark, sf_dir, "row_key", "year", "month", "ArrDelay")
+    store.resume_store(flights.where("year < 1998"), path, at_a_time=48)
+    store.resume_store(flights, path, at_a_time=48)
+    return store.finished_parts(spark, path)
+
+
 @query(
     "hub_traffic", "SRC6 JN4",
     sql_with(RAW_SQL, HUBS_SQL, body="""SELECT faa_hub_category, count(*) AS flights, count(DISTINCT "Origin") AS airports

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,6 +74,36 @@ def write_store(df: DataFrame, root: str, partition_by: Sequence[str] = ("year",
         writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(root)
 
 
+def finished_parts(spark: SparkSession, root: str) -> DataFrame | None:
+    """The record of finished partitions of a store (their values and rows), if there is one."""
+    return spark.read.parquet(f"{root}/_finished") if exists(spark, f"{root}/_finished") else None
+
+
+def resume_store(df: DataFrame, root: str, partition_by: Sequence[str] = ("year", "month"), at_a_time: int = 12) -> int:
+    """Write the partitions of ``df`` that are not finished yet; returns how many were written.
+
+    After every ``at_a_time`` partitions a record with their row counts is added below ``root``.
+    What a killed run left of a partition without a record is replaced; finished partitions
+    keep their files whatever ``df`` holds for them. Rows with a null partition value raise.
+    """
+    spark, keys = df.sparkSession, list(partition_by)
+    wanted = df.select(*keys).distinct()
+    done = finished_parts(spark, root)
+    if done is not None:
+        on = [wanted[k] == done[k] for k in keys]
+        wanted = wanted.join(done, on, "left_anti")
+    pending = sorted(tuple(r) for r in wanted.collect())  # one row per partition, not per row
+    if any(v is None for part in pending for v in part):
+        raise ValueError("a partition value is null")
+    for low in range(0, len(pending), at_a_time):
+        batch = pending[low : low + at_a_time]
+        inside = reduce(or_, [reduce(and_, [F.col(k) == F.lit(v) for k, v in zip(keys, part)]) for part in batch])
+        write_store(df.where(inside), root, keys, overwrite=True)
+        counts = spark.read.parquet(root).where(inside).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        counts.coalesce(1).write.mode("append").parquet(f"{root}/_finished")
+    return len(pending)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,25 @@ def test_nearest_event_distance(spark):
         (1, "None", 0, 1, 3), (2, "C", 1, 1, 0), (3, "None", 0, 1, 3), (4, "None", 0, 1, 2)]
 
 
+def test_nearest_event_of_many_days_times_and_a_hot_day(spark):
+    random = np.random.default_rng(3)
+    start = dt.datetime(2020, 1, 1, 13)
+    times = [start + dt.timedelta(hours=int(h)) for h in random.integers(0, 24 * 900, 300)] + [dt.datetime(2021, 5, 5, 1)] * 500
+    holidays = [start.date() + dt.timedelta(days=int(d)) for d in random.integers(100, 700, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)] + [(-1, None)], "id int, t timestamp").repartition(5)
+    events = spark.createDataFrame([(d, f"n{k % 3}") for k, d in enumerate(holidays)] + [(None, "x")], "date date, name string")
+    got = {r["id"]: r for r in joins.nearest_event(df, "t", events, within=2).collect()}
+    assert len(got) == len(times) + 1
+    for i, t in enumerate(times):
+        near = min(abs((t.date() - d).days) for d in holidays)
+        names = sorted({f"n{k % 3}" for k, d in enumerate(holidays) if d == t.date()})
+        assert (got[i]["days_to_nearest_holiday"], got[i]["is_holiday"], got[i]["within_3d_holiday"]) == (near, int(near == 0), int(near <= 2))
+        assert got[i]["holiday_name"] == ("; ".join(names) or "None")
+    assert (got[-1]["days_to_nearest_holiday"], got[-1]["is_holiday"], got[-1]["holiday_name"]) == (None, 0, "None")
+    alone = joins.nearest_event(df, "t", events.limit(0)).first()
+    assert (alone["days_to_nearest_holiday"], alone["is_holiday"], alone["within_3d_holiday"]) == (None, 0, 0)
+
+
 def test_flags_are_null_safe(spark):
     df = spark.createDataFrame([(0, 0, 1.0), (0, 0, None), (1, 0, None), (None, 0, 1.0), (0, 1, None)], "Cancelled int, Diverted int, ArrDel15 double")
     assert [tuple(r) for r in add_flags(df).select("primary_eligible", "adverse_operation").collect()] == [(1, 1), (0, 0), (0, 1), (0, 1), (0, 1)]

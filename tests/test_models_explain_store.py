@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import pathlib
 import tempfile
 
 import numpy as np
@@ -169,6 +170,24 @@ def test_store_prunes_partitions_and_checks_months(spark):
         store.require_months(back, [2023, 2024])
 
 
+def test_store_resumes_by_month(spark):
+    root = tempfile.mkdtemp(prefix="run-") + "/store"
+    df = spark.createDataFrame([(2022, m, float(m)) for m in range(1, 7) for _ in range(3)], "year int, month int, v double")
+    assert store.resume_store(df.where("month <= 2"), root, at_a_time=1) == 2
+    files = lambda m: sorted(p.name for p in pathlib.Path(root, "year=2022", f"month={m}").glob("*.parquet"))
+    first = files(1) + files(2)
+    # A run killed in month 3 left rows but no record.
+    df.where("month = 3").limit(1).write.mode("append").partitionBy("year", "month").parquet(root)
+    assert store.resume_store(df.withColumn("v", -F.col("v")), root, at_a_time=2) == 4
+    assert files(1) + files(2) == first
+    back = store.read_store(spark, root)
+    assert back.count() == 18 and back.where("v > 0").agg(F.max("month")).first()[0] == 2
+    assert store.resume_store(df, root) == 0
+    assert rows(store.finished_parts(spark, root), "year", "month", "rows") == [(2022, m, 3) for m in range(1, 7)]
+    with pytest.raises(ValueError):
+        store.resume_store(df.withColumn("month", F.lit(None).cast("int")), root)
+
+
 def test_publish_exact_keeps_the_old_table_on_a_wrong_count(spark):
     path = tempfile.mkdtemp(prefix="run-") + "/sample"
     assert store.publish_exact(spark.range(10), path, 10)

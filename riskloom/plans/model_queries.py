@@ -340,31 +340,32 @@ def grid_search(spark, sf_dir):
     (bins, rows), (levels, complete) = at_once(spark, lambda: coded(spark, sf_dir), lambda: prepared(spark, sf_dir))
     fit, valid = rows.where("year <= 1999"), rows.where("year = 2000")
 
+    def lines(scored, names):
+        columns = {c: f"c{k}" for k, c in enumerate(names)}
+        return M.model_scores(materialize(scored.select("label", *columns.values()), "scored"), "label", columns)
+
     def by_trees():
         trees = {_named("trees", p): boosting.Trees(GRID_ROUNDS, **p) for p in TREE_GRID}
         model = boosting.load(boosting.fit(fit, bins, trees), bins)
-        return boosting.score(valid.select("label", "codes"), model, {c: c for c in trees}), list(trees)
+        return lines(boosting.score(valid.select("label", "codes"), model, {c: f"c{k}" for k, c in enumerate(trees)}), trees)
 
     def by_terms():
         terms = {f"additive pairs={n} " + _named("", p).strip(): (n, AD.Additive(**p)) for n, p in ADDITIVE_GRID}
         models = AD.fit(fit, bins, {c: p for c, (_, p) in terms.items()}, {c: n for c, (n, _) in terms.items()})
         scored = valid
         for k, c in enumerate(terms):
-            scored = models[c].margin_of_codes(scored, f"_m{k}")
-        return scored.select("label", *[_probability(f"_m{k}").alias(c) for k, c in enumerate(terms)]), list(terms)
+            scored = models[c].margin_of_codes(scored, f"_m{k}").withColumn(f"c{k}", _probability(f"_m{k}"))
+        return lines(scored, terms)
 
     def by_regression():
         grid = {_named("logistic", p): SG.Regression(epochs=80, patience=5, **p) for p in LOGISTIC_GRID}
         models, scored = SG.fit(complete.where("year <= 1999"), levels, [*NUMBERS, *FLAGS], grid), complete.where("year = 2000")
-        for c, model in models.items():
-            scored = model.score(scored, c)
-        return scored, list(grid)
-
-    lines = [
-        M.model_scores(materialize(df.select("label", *[F.col(f"`{c}`") for c in names]), "scored"), "label", names)
-        for df, names in at_once(spark, by_trees, by_terms, by_regression)
-    ]
-    metrics = M.evaluate(lines[0].unionByName(lines[1]).unionByName(lines[2]))
+        for k, c in enumerate(grid):
+            scored = models[c].score(scored, f"c{k}")
+        return lines(scored, grid)
+
+    trees, terms, regressions = at_once(spark, by_trees, by_terms, by_regression)
+    metrics = M.evaluate(trees.unionByName(terms).unionByName(regressions))
     return ML.best_by_group(metrics, F.split("model", " ")[0])
 
 

@@ -160,6 +160,8 @@ def _lonely_runs(texts: DataFrame, total_low: int) -> DataFrame:
         same = runs[1:] == runs[:-1]
         shared = np.append(same, False) | np.append(False, same)
         short, n = np.unique(owners[shared], return_counts=True)
+        del runs, owners, order, new, same, shared
+        T.give_back()
         return pd.DataFrame({"short": short.view(np.int64), "shared": n.astype(np.int64)})
 
     dealt = texts.select("text").mapInArrow(deal, "part long, sets binary, sizes binary, runs binary")

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as S
 
+from riskloom.llm import text as T
+
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[int, int, int]  # kind, start, end
 #: Documents and stretches the field is fitted on at most, and atoms of such a stretch.
@@ -378,7 +380,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_stretches: int =
         examples.append((r["stretch"], spans))
         if spans:
             examples.append(rewrite(r["stretch"], spans, k))
-    return train(examples)
+    field = train(examples)
+    del rows, examples
+    T.give_back()
+    return field
 
 
 def find_spans(texts: list[str | None], field: SemiMarkovField) -> tuple[list[list[Span]], list[list[Span]]]:

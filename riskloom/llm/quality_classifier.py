@@ -113,7 +113,7 @@ def train(
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
     layer, offset = random.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    # Both classes weigh the same in the loss; the constant put back below undoes it.
+    # Both classes weigh the same in the loss, so scores are for equal shares of them.
     weight = {0: len(rows) / (2 * (len(rows) - good)), 1: len(rows) / (2 * good)}
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -141,9 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> SubwordC
     sample = labelled_texts(docs, labels, "quality", rows, ~held_out())
     found = sample.mapInArrow(_training_rows, "doc_id long, label int, ids binary, counts binary").toArrow()
     parsed = sorted(found.to_pylist(), key=lambda r: r["doc_id"])
-    return train([
+    model = train([
         (int(r["label"] > 0), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in parsed
     ])
+    del found, parsed
+    T.give_back()
+    return model
 
 
 def classify(docs: DataFrame, model: SubwordClassifier) -> DataFrame:

@@ -215,8 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> BoostedT
     parsed = sorted(found.to_pylist(), key=lambda r: r["doc_id"])
     if not parsed:
         return None
-    x = np.array([r["features"] for r in parsed])
-    return train(x, np.array([float(r["label"] > 0) for r in parsed]), list(FEATURES.values()))
+    x, y = np.array([r["features"] for r in parsed]), np.array([float(r["label"] > 0) for r in parsed])
+    del found, parsed
+    model = train(x, y, list(FEATURES.values()))
+    T.give_back()
+    return model
 
 
 def judge(column: pa.Array, model: BoostedTrees | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -130,6 +130,21 @@ def test_category_risk_filters_and_ranks(spark):
     assert [(r["rank"], r["level"]) for r in X.category_risk(effects, 0.2, 5, 10).orderBy("rank").collect()] == [(1, "c"), (2, "a")]
 
 
+def test_category_risk_keeps_the_best_of_each_task_before_the_shuffle(spark):
+    effects = spark.range(20000).repartition(6).select(
+        (F.col("id") % 2).cast("string").alias("term"), F.col("id").cast("string").alias("level"), F.lit(9).alias("rows"),
+        (F.col("id") % 500 / 100.0).alias("score"),
+    )
+    top = X.category_risk(effects, 0.2, 5, 10)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    limits = [i for i in range(len(plan)) if plan.startswith("WindowGroupLimit", i)]
+    assert len(limits) == 2 and limits[0] < plan.index("Exchange hashpartitioning") < limits[1], plan
+    got = [(r["term"], r["level"]) for r in top.orderBy("term", "rank").collect()]
+    want = lambda best: sorted(str(i) for i in range(best, 20000, 500))[:10]
+    assert got == [("0", level) for level in want(498)] + [("1", level) for level in want(499)]
+
+
+
 # --- profiles and storage -----------------------------------------------------------------------
 
 

@@ -85,6 +85,20 @@ def test_exact_sample_is_only_a_filter(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_exact_sample_reads_its_input_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = keyed(spark, 3000)
+    sample = S.exact_sample(df.mapInPandas(counted, df.schema), 400, "k", 2)
+    assert sample.count() == 400 and sample.select("k").distinct().count() == 400
+    assert read.value == 2 * 3000
+
+
 def test_permute_keeps_the_values_of_each_group(spark):
     df = keyed(spark, 900)
     out = S.permute(df, "v", "k", 3, ["g"])

@@ -10,7 +10,7 @@ from riskloom.catalog import HAZARD_GROUPS, HAZARD_SIGNIFICANCE
 from riskloom.functions.temporal import ceil_hour, floor_hour, parse_compact
 from riskloom.functions.values import lookup
 from riskloom.operators.joins import broadcast_if_small
-from riskloom.session import fan_out
+from riskloom.session import fan_out, materialize
 
 
 def clean_intervals(df: DataFrame) -> DataFrame:
@@ -28,17 +28,17 @@ def clean_intervals(df: DataFrame) -> DataFrame:
     )
 
 
-def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd test of a point against closed rings; the boundary is outside.
-
-    ``rings`` is an array of rings, each an array of ``(x, y)`` structs, so
-    holes and several parts need no extra treatment.
-    """
+def ring_sides(rings: Column) -> Column:
+    """All sides of closed rings, as structs of their ends ``a`` and ``b``."""
     following = lambda ring: F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    sides = F.flatten(
+    return F.flatten(
         F.transform(rings, lambda ring: F.zip_with(ring, following(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     )
 
+
+def within_sides(x: Column, y: Column, sides: Column) -> Column:
+    """Even-odd test of a point against sides; the boundary is outside."""
+
     def touches(s: Column) -> Column:
         ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
         on_line = (bx - ax) * (y - ay) == (by - ay) * (x - ax)
@@ -52,36 +52,73 @@ def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
     return ~F.exists(sides, touches) & (F.size(F.filter(sides, crosses)) % 2 == 1)
 
 
+def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd test of a point against closed rings; the boundary is outside.
+
+    ``rings`` is an array of rings, each an array of ``(x, y)`` structs, so
+    holes and several parts need no extra treatment.
+    """
+    return within_sides(x, y, ring_sides(rings))
+
+
+def grid_cell(value: Column, cell: float) -> Column:
+    return F.floor(value / cell).cast("int")
+
+
+def covering_cells(polygons: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
+    """``(key, _cx, _cy, _whole)``: the grid cells a polygon shares points with.
+
+    ``_whole`` marks a cell that lies inside as a whole: no side passes through it, and its
+    middle is inside. Cells outside are left out. A polygon's cells are found in
+    its own task, and only numbers leave it, no rings.
+    """
+    at = lambda value: grid_cell(value, cell)
+    low, high = (lambda s, axis: F.least(s["a"][axis], s["b"][axis])), (lambda s, axis: F.greatest(s["a"][axis], s["b"][axis]))
+    spans = polygons.select(key, ring_sides(F.col(rings)).alias("_sides")).select(
+        key, "_sides",
+        F.transform("_sides", lambda s: F.struct(
+            at(low(s, "x")).alias("x0"), at(high(s, "x")).alias("x1"), at(low(s, "y")).alias("y0"), at(high(s, "y")).alias("y1"),
+            s["a"].alias("a"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"),
+        )).alias("_spans"),
+    )
+    edge = lambda pick, name: pick(F.transform("_spans", lambda s: s[name]))
+    rows = spans.where(F.size("_sides") > 0).select(
+        key, "_sides", "_spans", F.sequence(edge(F.array_min, "y0"), edge(F.array_max, "y1")).alias("_rows"),
+        F.explode(F.sequence(edge(F.array_min, "x0"), edge(F.array_max, "x1"))).alias("_cx"),
+    )
+    # Only the sides over a column of cells can pass through them.
+    over = F.filter("_spans", lambda s: F.col("_cx").between(s["x0"], s["x1"]))
+    middle = lambda index: (index + 0.5) * cell
+    # A side misses a cell when all corners lie on one side of it; the millionth covers rounding.
+    reach = cell * (0.5 + 1e-6)
+    off = lambda s, cy: s["dx"] * (middle(cy) - s["a"]["y"]) - s["dy"] * (middle(F.col("_cx")) - s["a"]["x"])
+    passes = lambda s, cy: cy.between(s["y0"], s["y1"]) & (F.abs(off(s, cy)) <= reach * (F.abs(s["dx"]) + F.abs(s["dy"])))
+    marked = rows.withColumn("_over", over).select(key, "_cx", F.inline(F.transform("_rows", lambda cy: F.struct(
+        cy.alias("_cy"),
+        F.when(~F.exists("_over", lambda s: passes(s, cy)),
+               within_sides(middle(F.col("_cx")), middle(cy), F.col("_sides"))).alias("_inside"),
+    ))))
+    return marked.where(F.coalesce("_inside", F.lit(True))).select(key, "_cx", "_cy", F.col("_inside").isNotNull().alias("_whole"))
+
+
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, x: str = "longitude", y: str = "latitude", rings: str = "rings",
     cell: float = 1.0,
 ) -> DataFrame:
     """Inner join of points with the polygons they lie strictly inside.
 
-    Both sides are laid on a grid and joined on the cell, so a polygon only
-    meets points of the cells its bounding box covers. A checked-small point
-    table is broadcast and the polygons are not shuffled at all.
+    Polygons become numbered grid cells, which meet the points of the same cell. A cell that lies
+    inside as a whole accepts its points without a test; points of the other cells are tested
+    against the rings, which are attached once per surviving pair. Points without finite
+    coordinates and polygons without rings match nothing.
     """
-    at = lambda value: F.floor(value / cell).cast("int")
-    corners = F.flatten(F.col(rings))
-    side = lambda pick, axis: pick(F.transform(corners, lambda c: c[axis]))
-    boxed = polygons.withColumns(
-        {
-            "_x0": side(F.array_min, "x"), "_x1": side(F.array_max, "x"),
-            "_y0": side(F.array_min, "y"), "_y1": side(F.array_max, "y"),
-        }
-    ).where(F.col("_x0").isNotNull() & F.col("_y0").isNotNull())
-    covered = boxed.withColumn("_cx", F.explode(F.sequence(at(F.col("_x0")), at(F.col("_x1"))))).withColumn(
-        "_cy", F.explode(F.sequence(at(F.col("_y0")), at(F.col("_y1"))))
-    )
-    placed = points.withColumns({"_px": at(F.col(x)), "_py": at(F.col(y))})
-    in_box = (
-        (F.col(x) > F.col("_x0")) & (F.col(x) < F.col("_x1")) & (F.col(y) > F.col("_y0")) & (F.col(y) < F.col("_y1"))
-    )
-    pairs = covered.join(
-        broadcast_if_small(placed), (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")) & in_box
-    )
-    inside = pairs.where(strictly_inside(F.col(x), F.col(y), F.col(rings)))
+    numbered = materialize(polygons.withColumn("_polygon", F.monotonically_increasing_id()), "polygons")
+    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+    placed = points.where(finite).withColumns({"_px": grid_cell(F.col(x), cell), "_py": grid_cell(F.col(y), cell)})
+    cells = covering_cells(numbered, "_polygon", rings, cell).withColumnRenamed("_polygon", "_of")
+    pairs = cells.join(broadcast_if_small(placed), (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py")))
+    attached = pairs.join(numbered, F.col("_of") == F.col("_polygon"))
+    inside = attached.where(F.col("_whole") | strictly_inside(F.col(x), F.col(y), F.col(rings)))
     return inside.select(*points.columns, *[c for c in polygons.columns if c != rings])
 
 

@@ -153,6 +153,45 @@ def test_points_in_polygons(spark, ring, point, inside):
     assert I.points_in_polygons(points, shapes).count() == int(inside)
 
 
+def even_odd(x, y, rings):
+    crossings = 0
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return False
+            crossings += (ay > y) != (by > y) and x < ax + (bx - ax) * (y - ay) / (by - ay)
+    return crossings % 2 == 1
+
+
+@pytest.mark.parametrize("cell", [0.5, 1.0, 7.0])
+def test_whole_cells_and_border_cells_give_the_pairs_of_brute_force(spark, cell):
+    rng = np.random.default_rng(3)
+    shapes = []
+    for i in range(12):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        reach = rng.integers(2, 8, 9)
+        centre = rng.integers(-6, 7, 2).tolist()
+        outer = [(float(round(centre[0] + r * np.cos(t))), float(round(centre[1] + r * np.sin(t)))) for t, r in zip(turn, reach)]
+        hole = [(centre[0] + a * 0.5, centre[1] + b * 0.5) for a, b in [(-1, -1), (1, -1), (1, 1), (-1, 1)]]
+        shapes.append((i, [outer + outer[:1], hole + hole[:1]]))
+    points = [(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.integers(-28, 29, (300, 2)) / 2)]
+    want = sorted((p, i) for p, a, b in points for i, rings in shapes if even_odd(a, b, rings))
+    typed = "id int, rings array<array<struct<x:double,y:double>>>"
+    polygons = spark.createDataFrame(shapes + [(90, None), (91, []), (92, [[]])], typed)
+    placed = spark.createDataFrame(points + [("n", None, 0.0), ("f", float("nan"), 0.0), ("i", 0.0, float("inf"))],
+                                   "airport string, longitude double, latitude double")
+    assert want and rows(I.points_in_polygons(placed, polygons, cell=cell), "airport", "id") == sorted(want, key=repr)
+    cells = I.covering_cells(polygons, "id", "rings", cell)
+    assert cells.columns == ["id", "_cx", "_cy", "_whole"] and cells.count() == cells.distinct().count()
+    # A side passes through no more cells than its extent allows, so the others were decided as a whole.
+    sides = [abs(ax - bx) + abs(ay - by) for _, rings in shapes for r in rings for (ax, ay), (bx, by) in zip(r, r[1:])]
+    assert 0 < cells.where("NOT _whole").count() <= sum(3 * d / cell + 9 for d in sides)
+    if cell == 0.5:
+        assert cells.where("_whole").count() > 0
+    whole = cells.where("_whole").select("id", ((F.col("_cx") + 0.1) * cell).alias("x"), ((F.col("_cy") + 0.9) * cell).alias("y"))
+    assert all(even_odd(x, y, dict(shapes)[i]) for i, x, y in whole.collect())
+
+
 def hazard(spark, *data):
     raw = spark.createDataFrame([(a, i, e, p, s) for a, i, e, p, s in data], "airport string, ISSUED string, EXPIRED string, PHENOM string, SIG string")
     return I.clean_intervals(raw)

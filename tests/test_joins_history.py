@@ -144,3 +144,26 @@ def test_broadcast_counts_bytes_too(spark):
     plan = lambda right: fact.join(right, F.col("k") == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan(joins.broadcast_if_small(wide, max_bytes=20_000))
     assert "broadcast" in plan(joins.broadcast_if_small(wide, max_bytes=40_000))
+
+
+def test_congestion_moves_no_rows(spark):
+    from datetime import date
+
+    from riskloom.operators import history
+
+    day = date(2000, 1, 1)
+    data = [(day, "A", "B", 5)] * 3 + [(day, "A", "C", 6), (day, "A", "B", None), (day, None, "B", 5), (None, "A", "B", 5), (day, "B", "A", 5)]
+    df = spark.createDataFrame(data, "FlightDate date, Origin string, Dest string, departure_hour int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = history.congestion(df)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        found = {tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert found == {
+        (day, "A", "B", 5, 3, 5, 5), (day, "A", "C", 6, 1, 5, 1), (day, "A", "B", None, None, None, 5),
+        (day, None, "B", 5, None, None, 5), (None, "A", "B", 5, None, None, None), (day, "B", "A", 5, 1, 1, 1),
+    }
+    assert out.count() == len(data)

@@ -236,3 +236,29 @@ def test_no_intersection_is_reported(spark):
     empty = spark.createDataFrame([], "a int")
     with pytest.raises(ValueError):
         I.require_rows(empty, "no hazard meets an airport")
+
+
+def test_overlapping_spans_are_counted_not_expanded(spark):
+    kinds = [("WS", "Y"), ("FF", "A"), ("ZZ", "W"), ("ZZ", "?")]
+    df = hazard(spark, *[("AB"[i % 2], f"202401{1 + i % 9:02d}{i % 24:02d}30", f"202401{9 + i % 9:02d}{(7 * i) % 24:02d}00", *kinds[i % 4]) for i in range(120)])
+    union = I.expand_hours(df, ["airport", "severity", "hazard_group"])
+    flag = lambda g: F.max(F.when(F.col("hazard_group") == g, F.col("hazard_forecast")).otherwise(0))
+    want = union.groupBy("airport", "utc_hour").agg(F.max("hazard_forecast").alias("hazard_forecast_any"), F.max("hazard_active_at_prediction").alias("hazard_active_at_prediction"),
+                                                    F.max("severity").alias("hazard_max_severity"), flag("winter").alias("hazard_winter"), flag("flood").alias("hazard_flood"))
+    got = I.hazard_hours(df)
+    assert hours(want) == hours(got)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Plans are printed from the result down: hours are made above the running sums of changes.
+    assert plan.index("Generate explode") < plan.index("Window") < plan.index("Generate inline")
+
+
+def test_hazards_of_both_ends_come_from_one_join(spark):
+    from riskloom.plans import flights as P
+
+    hour = dt.datetime(2024, 1, 1, 5)
+    table = spark.createDataFrame([("A", hour, 1, 3), ("B", hour, 0, 1)], "airport string, utc_hour timestamp, hazard_forecast_any int, hazard_max_severity int")
+    data = [("A", "B", hour), ("B", "C", hour), (None, "A", hour), ("A", "B", None)]
+    df = spark.createDataFrame(data, "Origin string, Dest string, utc_hour timestamp")
+    out = P.attach_hazards(df, table)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    assert {tuple(r)[:2] + tuple(r)[3:] for r in out.collect()} == {("A", "B", 1, 3, 0, 1), ("B", "C", 0, 1, 0, 0), (None, "A", 0, 0, 1, 3), ("A", "B", 0, 0, 0, 0)}

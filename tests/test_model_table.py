@@ -6,6 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.binning import Bins
 from riskloom.plans import binding as B, flights as P
 from tests.conftest import rows
 
@@ -49,3 +50,18 @@ def test_hazard_hours_are_packed_and_broadcast(spark, severity, packed):
     none = (0, 0, 0)
     assert found == [(1, 1, severity, 0, 0, 0, 1), (2, *none, 1, 2, 1), (3, *none, *none), (4, *none, *none), (5, *none, *none)]
     assert out.where(F.col("origin_hazard_flood").isNull()).count() == 0
+
+
+def test_numbers_are_placed_a_batch_at_a_time(spark):
+    """Codes count the edges not above a number, from 1; missing and NaN are 0, and other columns stay."""
+    inf, nan = float("inf"), float("nan")
+    values = [None, nan, -inf, -1.0, 0.0, 0.5, 1.0, 2.5, inf]
+    df = spark.createDataFrame([(i, None if i == 3 else "x", v, i) for i, v in enumerate(values)], "id int, t string, a double, b int")
+    coded = Bins([], ["a", "b", "c"], {}, {"a": [0.0, 1.0], "b": [4.0], "c": []}, None).encode(df.withColumn("c", F.lit(7)), ["id", "t"])
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDF" not in plan
+    assert dict(coded.dtypes) == {"id": "int", "t": "string", "codes": "array<smallint>"}
+    found = {r["id"]: (r["t"], r["codes"]) for r in coded.collect()}
+    wanted = [0, 0, 1, 1, 2, 2, 3, 3, 3]
+    assert found == {i: (None if i == 3 else "x", [w, 1 + (i >= 4), 1]) for i, w in enumerate(wanted)}
+    assert Bins([], ["a"], {}, {"a": [0.0]}, None).encode(df.limit(0), []).count() == 0
